@@ -23,7 +23,7 @@ from slateworks.llm._common import Scratch
 SAMPLE_ROWS, MAX_FEATURES, MIN_Z, MIN_DOCS = 16_000, 3_000, 4.0, 4
 COUNTERFACTUAL, L1, STEPS, RATE = 4.0, 2e-4, 600, 2.0
 THRESHOLD = 0.3
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
 #: Terms that name a group of people, by the kind of group within which they are swapped.
 IDENTITY_TERMS = {
     "religion": ["muslim", "muslims", "jewish", "jews", "christian", "christians", "hindu", "buddhist", "atheist", "catholic", "musulman", "juif", "muslimisch", "jüdisch", "musulmán", "judío"],
