@@ -30,6 +30,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python by at most 2 MB at once, so that a worker's memory does not depend on the lengths of texts around.
+
+    The setting is the session's and stays, as results are computed later.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
+
+
 class Scratch:
     """Tables under the shared checkpoint folder: they cut lineage, and a lost executor only costs a re-read.
 
@@ -38,6 +46,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.tables = spark, {}
+        bounded_batches(spark)
         self.root = f"{checkpoint_root(spark)}/slateworks-{uuid.uuid4().hex}"
         atexit.register(self._close)
 

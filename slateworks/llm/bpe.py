@@ -40,7 +40,6 @@ class Codec:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"[^\p{White_Space}", r"[^\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})"))
-        self.token = {v: k for k, v in table.items()}
 
     def encode(self, text: str) -> np.ndarray:
         if _LONG_SPACE.search(text):
@@ -144,22 +143,32 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str, chunk: int = CHUNK, ove
     Null texts count as empty and give no ids; repeated rows give repeated results; other columns are not read. Texts of up
     to chunk code points are encoded where they are read; only longer ones are dealt out.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((ranks, pattern))
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
     codec = lambda: _codec(*shared.value)
 
+    short, long_ = _dealt(docs, codec, chunk, overlap)
+    encode = _encoder(codec)
+    return short.select("doc_id", encode("text").alias("ids")).unionByName(long_) if long_ is not None else short.select("doc_id", encode("text").alias("ids"))
+
+
+def _encoder(codec: Callable[[], Codec]):
     @F.pandas_udf("binary")
     def encode(texts: pd.Series) -> pd.Series:
         own = codec()
         return pd.Series([own.encode(t).tobytes() for t in texts], dtype=object)
 
+    return encode
+
+
+def _dealt(docs: DataFrame, codec: Callable[[], Codec], chunk: int, overlap: int) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) of the texts of up to chunk code points, and (doc_id, ids) of the longer ones, if there are any."""
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    short = light.where(F.char_length("text") <= chunk).select("doc_id", encode("text").alias("ids"))
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
+    short = light.where(F.char_length("text") <= chunk)
     long_ = scratch.cut(light.where(F.char_length("text") > chunk).withColumn("_row", F.monotonically_increasing_id()), "bpe-long")
     if long_.isEmpty():
-        return short
-    parts = _pieces(long_, codec, chunk, overlap, scratch).select("_row", "_part", encode("text").alias("ids"))
+        return short, None
+    parts = _pieces(long_, codec, chunk, overlap, scratch).select("_row", "_part", _encoder(codec)("text").alias("ids"))
 
     @F.pandas_udf("binary")
     def concat(parts: pd.Series) -> pd.Series:
@@ -167,17 +176,30 @@ def encoded(docs: DataFrame, ranks: bytes, pattern: str, chunk: int = CHUNK, ove
 
     # The parts of one text, which was one row before.
     whole = parts.groupBy("_row").agg(F.collect_list(F.struct("_part", "ids")).alias("parts")).select("_row", concat("parts").alias("ids"))
-    return short.unionByName(long_.select("doc_id", "_row").join(whole, "_row").select("doc_id", "ids"))
+    return short, scratch.cut(long_.select("doc_id", "_row").join(whole, "_row").select("doc_id", "ids"), "bpe-ids")
 
 
 def round_trip(docs: DataFrame, ranks: bytes, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): the ids of encoded(), and the bytes that decoding them gives."""
     shared = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+    codec = lambda: _codec(*shared.value)
+    columns = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def digests(own: Codec, each: Iterator[np.ndarray]) -> pd.DataFrame:
+        rows = [(len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()) for ids in each]
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    # Encoding, decoding and both sums in one pass, so that one Python worker serves a task.
+    @F.pandas_udf(columns)
+    def of_text(texts: pd.Series) -> pd.DataFrame:
+        own = codec()
+        return digests(own, (own.encode(t) for t in texts))
 
-    @F.pandas_udf("string")
-    def decoded(ids: pd.Series) -> pd.Series:
-        own = _codec(*shared.value)
-        return pd.Series([hashlib.sha256(own.decode(np.frombuffer(i, dtype="<u4"))).hexdigest() for i in ids], dtype=object)
+    @F.pandas_udf(columns)
+    def of_ids(ids: pd.Series) -> pd.DataFrame:
+        return digests(codec(), (np.frombuffer(i, dtype="<u4") for i in ids))
 
-    ids = encoded(docs, ranks, pattern, chunk, overlap)
-    return ids.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), decoded("ids").alias("decoded_sha256"))
+    short, long_ = _dealt(docs, codec, chunk, overlap)
+    out = short.select("doc_id", of_text("text").alias("of"))
+    out = out if long_ is None else out.unionByName(long_.select("doc_id", of_ids("ids").alias("of")))
+    return out.select("doc_id", "of.*")

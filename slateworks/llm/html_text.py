@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slateworks.llm._common import bounded_batches
+
 WINDOW, SURGE = 3, 80
 #: Share of a run's characters inside links above which it counts as a menu.
 LINKS = 0.5
@@ -182,6 +184,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     A null or empty html, and one without text, give an empty text of 0 characters. Repeated rows give repeated results, other
     columns are not read, and an empty table gives an empty result.
     """
+    bounded_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slateworks.llm._common import bounded_batches
+
 #: For tests and queries; a real run passes its own secret.
 DEFAULT_KEY = b"slateworks demonstration key"
 KINDS = ("email", "secret", "iban", "card", "phone", "ssn", "ip", "date")
@@ -242,6 +244,7 @@ def pseudonymize(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     kinds counts the finds, as kind=number joined by commas in alphabetical order. Null texts stay null and empty ones
     empty, with nothing found; repeated rows give repeated results; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("text string, n_found long, kinds string")
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -256,6 +259,7 @@ def pseudonymize(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
 
 def with_pseudonyms(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     """docs with pseudonyms in text, and n_chars to match; all other columns as they are."""
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:

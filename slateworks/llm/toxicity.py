@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slateworks.llm._common import Scratch
+from slateworks.llm._common import Scratch, bounded_batches
 
 SAMPLE_ROWS, MAX_FEATURES, MIN_Z, MIN_DOCS = 16_000, 3_000, 4.0, 4
 COUNTERFACTUAL, L1, STEPS, RATE = 4.0, 2e-4, 600, 2.0
@@ -170,6 +170,7 @@ def score_text(text: str | None, weights: dict[str, float], bias: float) -> floa
 
 def scored(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
     """doc_id of every row of docs, and its score."""
+    bounded_batches(docs.sparkSession)
     weights, bias = model
 
     @F.pandas_udf("double")
