@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slateworks.llm import bpe, html_text, mixing, pii, quality, simhash, suffix_dedup, toxicity, url_filter
+from slateworks.llm import bpe, embed_dedup, html_text, mixing, pii, quality, simhash, suffix_dedup, toxicity, url_filter
 
 
 def op1_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_cross_polytope_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -48,5 +52,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cube_mixing, op3_line_blocks, op4_byte_bpe, op5_suffix_array_dedup, op6_quality_cascade, op7_feistel_pii, op8_counterfactual_toxicity, op9_temporal_url_filter, op10_simhash_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_cube_mixing, op2_cross_polytope_dedup, op3_line_blocks, op4_byte_bpe, op5_suffix_array_dedup, op6_quality_cascade, op7_feistel_pii, op8_counterfactual_toxicity, op9_temporal_url_filter, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op6_quality_cascade": quality.ORACLE, "op9_temporal_url_filter": url_filter.ORACLE}
