@@ -21,5 +21,5 @@ def query(oracle: str | None = None) -> Callable:
     return register
 
 
-for _module in ("data", "held_out", "measures"):
+for _module in ("data", "held_out", "measures", "scoring", "recommending", "answers", "reports"):
     importlib.import_module(f"slateworks.plans.{_module}")
