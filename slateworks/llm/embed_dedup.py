@@ -18,16 +18,17 @@ from pyspark.sql import functions as F
 
 from slateworks.llm._common import Scratch, connected_components
 
-COSINE, TABLES, PROBES, SEED = 0.98, 8, 5, 977
+COSINE, TABLES, PROBES, SEED = 0.98, 6, 5, 977
 #: Rows of a bucket that meet in one task at once; larger buckets are cut into blocks, and every pair of blocks meets.
 BLOCK = 2048
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def parts_for(vectors: int, dim: int) -> int:
-    """Hashes to a bucket: as many buckets as there are vectors, about, and two at least."""
+    """Hashes to a bucket: at least as many times the buckets as a hash has axes as there are vectors, so that vectors which
+    are not near rarely meet however many there are; two at least."""
     axes = 2 * (1 << max(0, dim - 1).bit_length())
-    return max(2, round(math.log(max(2, vectors)) / math.log(axes)))
+    return max(2, 1 + math.ceil(math.log(max(2, vectors)) / math.log(axes)))
 
 
 def rotated(x: np.ndarray, signs: np.ndarray) -> np.ndarray:

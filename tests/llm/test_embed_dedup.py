@@ -80,7 +80,7 @@ def test_recall_at_the_threshold():
     y -= (x * y).sum(axis=1, keepdims=True) * x
     y /= np.linalg.norm(y, axis=1, keepdims=True)
     z = 0.98 * x + np.sqrt(1 - 0.98**2) * y
-    for parts in (2, 3):
+    for parts in (2, 3, 4):
         a, b = (embed_dedup.bucket_keys(v, np.zeros(len(v), dtype=np.int64), parts) for v in (x, z))
         found = ((a[:, :, :1] == b) | (b[:, :, :1] == a)).any(axis=(1, 2))
         assert found.mean() > 0.995, (parts, found.mean())
