@@ -232,12 +232,13 @@ def _ranked(scratch: Scratch, items: DataFrame, name: str) -> tuple[DataFrame, D
     content of the same rank, one item that stands for it (its lowest bit is set: it is compared with, but not judged).
     """
     ref = F.col("item").bitwiseAND(1) == 1
-    twice = items.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank")
+    # Written first: Spark splits a rank with very many items only in a join that reads both sides from a shuffle.
+    twice = scratch.cut(items.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rank"), f"{name}-ranks")
     kept = scratch.cut(items.join(twice, "rank", "left_semi"), f"{name}-twice")
     content = kept.groupBy("rank", "whole").agg(F.count(F.lit(1)).alias("n"), F.bool_or(ref).alias("ref"), F.min("item").alias("item"), F.min_by(F.struct(*(c for c in kept.columns if c not in ("rank", "whole", "item"))), F.col("item")).alias("of"))
     content = scratch.cut(content, f"{name}-content")
     done = kept.where(~ref).join(content.where("n > 1").select("rank", "whole"), ["rank", "whole"], "left_semi")
-    waiting = content.where("n = 1 AND NOT ref").select("rank").distinct()
+    waiting = scratch.cut(content.where("n = 1 AND NOT ref").select("rank").distinct(), f"{name}-waiting")
     some = content.join(waiting, "rank", "left_semi")
     judged = (F.col("n") == 1) & ~F.col("ref")
     item = F.when(judged, F.col("item")).otherwise(F.col("item").bitwiseOR(F.lit(1).cast("long")))
@@ -254,7 +255,7 @@ def repeated_spans(scratch: Scratch, keyed: DataFrame) -> DataFrame:
     source = long_.select("k1", "k2", F.col("text").alias("bytes")).join(listed, ["k1", "k2"])
     schema = "k1 long, k2 long, item long, bytes binary"
     parts = scratch.cut(source.mapInPandas(_cut_out(None), schema).withColumn("id", F.monotonically_increasing_id()), "bytes0")
-    for name in ("items", "round0-twice", "round0-content"):
+    for name in ("items", "round0-ranks", "round0-waiting", "round0-twice", "round0-content"):
         scratch.drop(name)
     for number, group in enumerate(GROUPS, 1):
         items = scratch.cut(parts.mapInPandas(_split(group), "id long, k1 long, k2 long, item long, rank long, whole long"), f"items{number}")
@@ -263,7 +264,7 @@ def repeated_spans(scratch: Scratch, keyed: DataFrame) -> DataFrame:
         if group > 1:
             listed = open_.groupBy("id").agg(F.collect_list("item").alias("items"))
             parts = scratch.cut(parts.join(listed, "id").mapInPandas(_cut_out(1), schema).withColumn("id", F.monotonically_increasing_id()), f"bytes{number}")
-        for name in (f"items{number}", f"round{number}-twice", f"round{number}-content", f"bytes{number - 1}"):
+        for name in (f"items{number}", f"round{number}-ranks", f"round{number}-waiting", f"round{number}-twice", f"round{number}-content", f"bytes{number - 1}"):
             scratch.drop(name)
     out = found[0]
     for spans in found[1:]:
