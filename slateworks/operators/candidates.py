@@ -25,14 +25,14 @@ def chunks(positives: DataFrame, size: int, seed: int | None, order: tuple[str,
     return out if max_groups is None else out.where(F.col("chunk") < offset + max_groups)
 
 
-def draw_negatives(groups: DataFrame, catalog: DataFrame, observed: DataFrame, seed: int, tag: str = "negative", attempts: int = 4, excluded: DataFrame | None = None, user: str = "user_id", item: str = "item_id") -> DataFrame:
+def draw_negatives(groups: DataFrame, catalog: DataFrame, observed: DataFrame, seed: int, tag: str = "negative", attempts: int = 4, excluded: DataFrame | None = None, index: DataFrame | None = None, user: str = "user_id", item: str = "item_id") -> DataFrame:
     """(user, chunk, item) for groups(user, chunk, need): need distinct items that the user has not observed.
 
     A table of draws, attempts * need + 16 for each group, meets the catalog by index; what is observed or excluded goes, and the
     first need distinct items stay. The work grows with the groups, not with users times items. Groups that stay short, which
     needs a user who has seen nearly all, are filled by an exact scan of the catalog for those users.
     """
-    index = indexed(catalog, item)
+    index = indexed(catalog, item) if index is None else index
     n = index.count()
     if not n:
         raise ValueError("the catalog is empty")
@@ -61,7 +61,7 @@ def fill_short(groups: DataFrame, negatives: DataFrame, catalog: DataFrame, obse
     return full
 
 
-def non_interactions(positives: DataFrame, catalog: DataFrame, observed: DataFrame, m: int, total: int, seed: int, tag: str = "negative", temporal: tuple[str, ...] = (), max_groups: int | None = None, offset: int = 0, excluded: DataFrame | None = None) -> DataFrame:
+def non_interactions(positives: DataFrame, catalog: DataFrame, observed: DataFrame, m: int, total: int, seed: int, tag: str = "negative", temporal: tuple[str, ...] = (), max_groups: int | None = None, offset: int = 0, excluded: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """(user_id, chunk, item_id, y): each group has total // (m + 1) positives of a user and m times as many unseen items.
 
     With total = m + 1 each positive is a group of its own. temporal keeps the given order of positives instead of a hashed one.
@@ -71,7 +71,7 @@ def non_interactions(positives: DataFrame, catalog: DataFrame, observed: DataFra
         raise ValueError("a group of that total has no place for a positive")
     placed = chunks(positives, size, seed, temporal, max_groups, offset).select("user_id", "chunk", "item_id")
     groups = placed.groupBy("user_id", "chunk").agg((F.count(F.lit(1)) * m).cast("int").alias("need"))
-    negatives = draw_negatives(groups, catalog, observed, seed, tag, excluded=excluded)
+    negatives = draw_negatives(groups, catalog, observed, seed, tag, excluded=excluded, index=index)
     return placed.withColumn("y", F.lit(1)).unionByName(negatives.withColumn("y", F.lit(0)))
 
 

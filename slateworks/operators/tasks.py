@@ -76,15 +76,28 @@ def _finished(observed: DataFrame, held: DataFrame, users: DataFrame, items: Dat
     return Task(out, "y", features, {"config": described(config)})
 
 
+def alignment_candidates(rows: DataFrame, kept: DataFrame, items: DataFrame, config: TaskConfig) -> DataFrame:
+    """(user_id, chunk, item_id, y, split): held-out positives of rows among items the user never touched in kept.
+
+    Negatives of val do not return in test.
+    """
+    index = candidates.indexed(items).persist()
+
+    def make(name: str, excluded: DataFrame | None) -> DataFrame:
+        part = rows.where(F.col("split") == name)
+        found = candidates.non_interactions(part, items, kept, config.m, config.total, config.seed, f"negative-{name}", max_groups=config.max_groups, excluded=excluded, index=index)
+        return found.withColumn("split", F.lit(name))
+
+    val = make("val", None).persist()
+    return val.unionByName(make("test", val.where("y = 0")))
+
+
 def alignment(users: DataFrame, items: DataFrame, interactions: DataFrame, config: TaskConfig) -> Task:
     """Observed training rows; held-out positives among items the user never touched. Negatives of val do not return in test."""
     require_columns(interactions, "user_id", "item_id")
-    kept = min_interactions(interactions, config.min_rows)
+    kept = min_interactions(interactions, config.min_rows).persist()
     rows = splits.random_fractions(kept, config.train, config.val, config.test, config.seed).persist()
-    make = lambda name, excluded: candidates.non_interactions(rows.where(F.col("split") == name), items, kept, config.m, config.total, config.seed, f"negative-{name}", max_groups=config.max_groups, excluded=excluded).withColumn("split", F.lit(name))
-    val = make("val", None).persist()
-    test = make("test", val.where("y = 0"))
-    return _finished(rows, val.unionByName(test), users, items, config)
+    return _finished(rows, alignment_candidates(rows, kept, items, config), users, items, config)
 
 
 def preference(users: DataFrame, items: DataFrame, interactions: DataFrame, config: TaskConfig, liked: str = "liked") -> Task:

@@ -1,14 +1,14 @@
-"""Relations that many plans start from, built once for a session and folder and kept in memory, or on disk beyond it."""
+"""Relations that many plans start from, built once for a session and folder and written to the shared scratch folder."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slateworks.operators import filters, splits, tasks
+from slateworks.functions.scratch import written
+from slateworks.operators import filters, scorers, splits, tasks
 from slateworks.sources import bindings
 
 _KEPT: dict = {}
@@ -19,7 +19,7 @@ def shared(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = make.__name__, spark.sparkContext.applicationId, sf_dir
         if key not in _KEPT:
-            _KEPT[key] = make(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+            _KEPT[key] = written(make(spark, sf_dir), make.__name__)
         return _KEPT[key]
 
     return get
@@ -39,5 +39,7 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @shared
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The alignment task's held-out candidates with popularity: split, user_id, item_id, grp, y, score."""
-    task = tasks.alignment(bindings.users(spark, sf_dir), bindings.items(spark, sf_dir), bindings.interactions(spark, sf_dir), CONFIG)
-    return tasks.popularity_scored(task).select("split", "user_id", "item_id", F.col("candidate_group").alias("grp"), "y", "score")
+    rows = split(spark, sf_dir)
+    held = tasks.alignment_candidates(rows, kept(spark, sf_dir), bindings.items(spark, sf_dir), CONFIG)
+    group = F.concat_ws(":", "user_id", "split", F.col("chunk").cast("string"))
+    return scorers.score_popularity(rows.where("split = 'train'"), held.withColumn("grp", group)).select("split", "user_id", "item_id", "grp", F.col("y").cast("int").alias("y"), "score")
