@@ -45,7 +45,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.tables = spark, {}
+        self.spark, self.tables, self.written = spark, {}, 0
         bounded_batches(spark)
         self.root = f"{checkpoint_root(spark)}/slateworks-{uuid.uuid4().hex}"
         atexit.register(self._close)
@@ -56,7 +56,8 @@ class Scratch:
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """Writes the table and returns a DataFrame that reads it."""
-        path = self.tables[name] = f"{self.root}/{name}-{len(self.tables)}"
+        self.written += 1
+        path = self.tables[name] = f"{self.root}/{name}-{self.written}"
         schema = df.schema
         df.write.parquet(path)
         return self.spark.read.schema(schema).parquet(path)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slateworks.llm._common import Scratch, connected_components
+from slateworks.llm.shingle_sets import set_prints, similar_links
 
 TAU, SEGMENTS, SHINGLE, SEED = 4, 5, 4, 42
 #: Buckets beyond this go the other exact way, by keys of radius TAU / 2, so that a task's memory stays bounded.
@@ -214,10 +215,13 @@ def near_links(scratch: Scratch, distinct_fps: DataFrame) -> DataFrame:
     return links.union(balls.join(first, "ball").where("fp <> least").select("least", "fp").distinct())
 
 
-def components(scratch: Scratch, prints: DataFrame) -> DataFrame:
-    """(fp, component, component_id) for each distinct fp of prints(doc_id, fp): its component's smallest fp and smallest doc_id."""
+def components(scratch: Scratch, prints: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(fp, component, component_id) for each distinct fp of prints(doc_id, fp): its component's smallest fp and smallest doc_id.
+
+    Links are those of the fingerprints, unless others are given.
+    """
     nodes = scratch.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    joined = connected_components(scratch, near_links(scratch, nodes))
+    joined = connected_components(scratch, near_links(scratch, nodes) if links is None else links)
     labelled = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     labelled = scratch.cut(labelled, "simhash-labelled")
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -239,11 +243,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the near-duplicates: of each component, the row with the smallest doc_id stays, all its columns with it.
 
-    Where that doc_id is repeated within the component, or null as all others there, one of its rows stays.
+    Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least, whatever their
+    SimHashes: at 0.8 those are some 10 of 64 bits apart, more than pigeonring filtering can search. Where that doc_id is repeated within the component, or null as all others there, one of its rows stays.
     """
     scratch = Scratch(docs.sparkSession)
-    prints = scratch.cut(fingerprints(docs), "simhash-fps")
-    by_fp = components(scratch, prints)
+    prints = scratch.cut(set_prints(docs), "shingles-fps")
+    by_fp = components(scratch, prints, similar_links(scratch, docs, prints))
     leaders = prints.join(by_fp, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     led = leaders.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     led = scratch.cut(led, "simhash-leaders")
@@ -262,7 +267,7 @@ def _one_of_each(scratch: Scratch, docs: DataFrame, repeated: DataFrame, by_fp:
     row = "_slateworks_row"
     some = docs.join(repeated.select(F.col("doc_id").alias("_slateworks_id")), F.col("doc_id").eqNullSafe(F.col("_slateworks_id")), "left_semi")
     some = scratch.cut(some.withColumn(row, F.monotonically_increasing_id()), "simhash-some")
-    prints = fingerprints(some.select(F.col(row).alias("doc_id"), "text")).withColumnRenamed("doc_id", row)
+    prints = set_prints(some.select(F.col(row).alias("doc_id"), "text")).withColumnRenamed("doc_id", row)
     own = some.select("doc_id", row).join(prints, row).join(by_fp, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = own.groupBy("component").agg(F.min(row).alias(row)).select(row)
     return some.join(first, row, "left_semi").select(*docs.columns)
