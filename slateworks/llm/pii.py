@@ -23,6 +23,11 @@ from slateworks.llm._common import bounded_batches
 DEFAULT_KEY = b"slateworks demonstration key"
 KINDS = ("email", "secret", "iban", "card", "phone", "ssn", "ip", "date")
 _ROUNDS = 10
+#: Words before a secret; the search, its prefilter and the replacement all use these.
+_SECRET_WORDS = r"password|passwd|pwd|token|secret|api[_-]?key"
+_SECRET_START = re.compile(rf"AKIA|ASIA|(?i:(?:{_SECRET_WORDS})\s*[=:]\s*[\"']?)")
+#: Characters of a secret that are permuted together; longer ones are permuted in pieces.
+_PIECE = 200
 _DATE_FROM, _DATE_DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
 
 
@@ -115,6 +120,10 @@ class Pseudonymizer:
     def _hex(self, tweak: str, text: str) -> str:
         return format(self._map(f"{tweak}x{len(text)}", 16 ** len(text), int(text, 16)), "x").zfill(len(text))
 
+    def _pieces(self, mapping, text: str) -> str:
+        """A secret of any length; each piece has its own permutations."""
+        return "".join(mapping(f"secret{at // _PIECE or ''}", text[at : at + _PIECE]) for at in range(0, len(text), _PIECE))
+
     def email(self, m: str) -> str | None:
         local, _, domain = m.rpartition("@")
         name, dot, top = domain.rpartition(".")
@@ -122,14 +131,14 @@ class Pseudonymizer:
         return f"{part(local, 'local')}@{part(name, 'domain')}{dot}{top}"
 
     def secret(self, m: str) -> str | None:
-        start = re.match(r"AKIA|ASIA|(?i:(?:password|passwd|pwd|token|secret|api[_-]?key)\s*[=:]\s*[\"']?)", m)
+        start = _SECRET_START.match(m)
         head, body = (m[: start.end()], m[start.end() :]) if start else ("", m)
         if not body.strip("\"'"):
             return None
         if re.fullmatch(r"[0-9a-f]{8,}", body):
-            return head + self._hex("secret", body)
+            return head + self._pieces(self._hex, body)
         parts = "".join(c for c in body.lower() if c.isascii() and c.isalnum())
-        return head + _refill(body, self._alnum("secret", parts), lambda c: c.isascii() and c.isalnum()) if parts else None
+        return head + _refill(body, self._pieces(self._alnum, parts), lambda c: c.isascii() and c.isalnum()) if parts else None
 
     def iban(self, m: str) -> str | None:
         compact = m.replace(" ", "")
@@ -221,16 +230,16 @@ class Pseudonymizer:
         return "".join(out) + text[at:], spans
 
 
-_TRIGGER = re.compile(r"[0-9@]|AKIA|ASIA|(?i:password|passwd|token|secret|api.?key)")
+_TRIGGER = re.compile(rf"[\d@]|AKIA|ASIA|(?i:{_SECRET_WORDS})")
 _FIND = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9]))"
-    r"|(?P<secret>\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?i:password|passwd|pwd|token|secret|api[_-]?key)\s?[=:]\s?[\"']?[^\s\"',;]{6,200})"
+    rf"|(?P<secret>\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b|\b(?i:{_SECRET_WORDS})\s?[=:]\s?[\"']?[^\s\"',;]{{6,}})"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b)"
     r"|(?P<date>(?<![\d./-])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?![\d/-]|\.\d))"
     r"|(?P<ip>(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-]))"
-    r"|(?P<card>(?<![\d.])\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}(?!\d)|(?<![\d.])\d{12,19}(?!\d|\.\d))"
+    r"|(?P<card>(?<![\d.])\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}(?!\d)|(?<![\d.])\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)|(?<![\d.])\d{12,19}(?!\d|\.\d))"
 )
 
 

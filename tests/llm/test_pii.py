@@ -61,3 +61,22 @@ def test_table(spark):
     full = pii.with_pseudonyms(df)
     assert full.columns == df.columns and {r.n_chars for r in full.where("doc_id = 1").collect()} == {len(rows[0][1])}
     assert pii.pseudonymize(df.limit(0)).count() == 0
+
+
+def test_nothing_of_a_find_is_left():
+    there, back = pii.Pseudonymizer(b"key"), pii.Pseudonymizer(b"key", inverse=True)
+    rng = random.Random(7)
+    for body in ("".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFG0123456789._-", k=300)), "".join(rng.choices("0123456789abcdef", k=1300)), "".join(rng.choices("ABCDEFGHIJ0123456789", k=30_000))):
+        text = f'token = "{body}" end'
+        new, spans = there.text(text)
+        assert spans == [("secret", 0, len(text) - 5)] and back.text(new)[0] == text
+        assert all(new[i : i + 20] != text[i : i + 20] for i in range(9, len(text) - 25))
+    new, spans = there.text("pwd: correcthorse")
+    assert len(spans) == 1 and "correcthorse" not in new and back.text(new)[0] == "pwd: correcthorse"
+    for word in ("password", "PASSWD", "Pwd", "token", "secret", "apikey", "api_key", "api-key"):
+        assert there.text(f"{word}=correcthorse")[1]
+    for card in ("3782 822463 10005", "3782-822463-10005"):
+        new, spans = there.text(f"card {card}.")
+        digits = "".join(c for c in new if c.isdigit())
+        assert [s[0] for s in spans] == ["card"] and card not in new and pii.luhn(digits[:-1]) == int(digits[-1])
+        assert digits == there.card("378282246310005") and back.text(new)[0] == f"card {card}."
