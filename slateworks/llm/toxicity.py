@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slateworks.llm._common import Scratch, bounded_batches
@@ -119,7 +119,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, co
     """(weights, bias), learned from labels(doc_id, toxic) whose crc32(doc_id as text) mod 4 is not 2, and the texts of docs.
 
     Rows with a null doc_id, a label other than 0 or 1, or no document give nothing to learn from. Without any row left
-    the model is a bias of zero weights. What reaches the driver is at most sample_rows rows of at most MAX_FEATURES words.
+    the model has no weights and bias 0: all texts score 0.5, and none is rejected (see rejects). What reaches the driver is at most sample_rows rows of at most MAX_FEATURES words.
     """
     scratch = Scratch(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
@@ -168,6 +168,11 @@ def score_text(text: str | None, weights: dict[str, float], bias: float) -> floa
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def rejects(model: tuple[dict[str, float], float], score: Column | float) -> Column | bool:
+    """Whether a text with this score is taken for toxic; a model without weights tells no texts apart and rejects none."""
+    return score >= THRESHOLD if model[0] else (F.lit(False) if isinstance(score, Column) else False)
+
+
 def scored(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
     """doc_id of every row of docs, and its score."""
     bounded_batches(docs.sparkSession)
@@ -183,21 +188,23 @@ def scored(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs(doc_id, text).
 
-    held_out: crc32(doc_id as text) mod 4 is 2 (false for a null doc_id). predicted: score >= THRESHOLD. Null and empty
+    held_out: crc32(doc_id as text) mod 4 is 2 (false for a null doc_id). predicted: score >= THRESHOLD, 0 for all rows
+    where there was nothing to learn from. Null and empty
     texts score as a text without known words. Repeated rows give repeated results, other columns are not read, an empty
     table gives an empty result.
     """
-    out = scored(docs, train(docs, labels))
+    model = train(docs, labels)
+    out = scored(docs, model)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", rejects(model, F.col("score")).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns."""
-    weights, bias = train(docs, labels)
+    """The rows of docs that are not predicted toxic, with all their columns; all rows where there was nothing to learn from."""
+    model = train(docs, labels)
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([score_text(t, weights, bias) < THRESHOLD for t in texts], dtype=bool)
+        return pd.Series([not rejects(model, score_text(t, *model)) for t in texts], dtype=bool)
 
     return docs.where(clean(F.col("text").cast("string")))

@@ -49,3 +49,11 @@ def test_odd_rows(spark):
     assert toxicity.toxicity(d.limit(0), y).count() == 0
     untrained = toxicity.toxicity(d, y.limit(0)).collect()
     assert {r.score for r in untrained} == {0.5}
+
+
+def test_nothing_is_rejected_where_nothing_was_learned(spark):
+    d = spark.createDataFrame([(1, "a clean text"), (2, None), (3, "")], "doc_id long, text string")
+    for y in ([], [(99, 1), (98, 0)]):
+        labels = spark.createDataFrame(y, "doc_id long, toxic int")
+        assert {r.predicted for r in toxicity.toxicity(d, labels).collect()} == {0}
+        assert toxicity.without_toxic(d, labels).count() == 3
