@@ -34,9 +34,12 @@ def intervals(events: DataFrame) -> DataFrame:
     """events(key, verdict, dated): 'block', 'allow', or 'none', which ends an entry -> (key, verdict, since, until), until excluded.
 
     An entry holds from its date until the key's next event; the last has no end (null). Of several events of a key on a
-    day the last verdict in the alphabet counts. Events without key, verdict or date are void.
+    day the last verdict in the alphabet counts. Events without key, verdict or date are void. Hosts are taken in small
+    letters; a path keeps its case, as in the URLs.
     """
-    daily = events.where("key IS NOT NULL AND verdict IS NOT NULL AND dated IS NOT NULL").groupBy(F.lower("key").alias("key"), "dated").agg(F.max("verdict").alias("verdict"))
+    listed = F.substring_index("key", "/", 1)
+    key = F.concat(F.lower(listed), F.col("key").substr(F.char_length(listed) + 1, F.char_length("key")))
+    daily = events.where("key IS NOT NULL AND verdict IS NOT NULL AND dated IS NOT NULL").groupBy(key.alias("key"), "dated").agg(F.max("verdict").alias("verdict"))
     # The events of one key are few: one a day at most.
     following = Window.partitionBy("key").orderBy("dated")
     return daily.withColumn("until", F.lead("dated").over(following)).where("verdict <> 'none'").select("key", "verdict", F.col("dated").alias("since"), "until")

@@ -17,3 +17,11 @@ def test_entries_active_at_fetch_time(spark):
     assert got == {1: (False, None, None), 2: block(D(2024, 1, 10)), 3: (False, None, None), 4: block(D(2024, 3, 1)), 5: (False, "ok.bad.example", D(2024, 1, 1)), 6: (True, "host.org/news", D(2024, 1, 5)), 7: (False, "host.org", D(2024, 1, 5)), 8: (False, None, None), 9: (False, None, None), 10: (False, None, None), None: block(D(2024, 1, 10)), 11: (False, None, None)}
     assert url_filter.filter_urls(c, e).count() == len(captures)
     assert url_filter.filter_urls(c.limit(0), e).count() == 0 and url_filter.filter_urls(c, e.limit(0)).where("blocked").count() == 0
+
+
+def test_paths_keep_their_case_and_hosts_do_not(spark):
+    e = spark.createDataFrame([("Host.ORG/Forum", "block", D(2024, 1, 5)), ("NEWS.example", "block", D(2024, 1, 5))], "key string, verdict string, dated date")
+    urls = ["http://host.org/Forum/1", "http://HOST.org/Forum", "http://host.org/forum", "http://news.Example/A", "http://host.org/"]
+    c = spark.createDataFrame([(i, u, D(2024, 2, 1)) for i, u in enumerate(urls)], "page_id long, url string, fetched_on date")
+    got = {r.page_id: (r.blocked, r.entry) for r in url_filter.filter_urls(c, e).collect()}
+    assert got == {0: (True, "host.org/Forum"), 1: (True, "host.org/Forum"), 2: (False, None), 3: (True, "news.example"), 4: (False, None)}
