@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: White space that separates words; everything else is part of a word.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Tables of a known number of small rows have a file for so many rows, but so many files at least.
+ROWS_PER_FILE, FEWEST_FILES = 100_000, 8
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -54,9 +56,14 @@ class Scratch:
         with contextlib.suppress(Exception):
             _delete(self.spark, self.root)
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes the table and returns a DataFrame that reads it."""
+    def cut(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """Writes the table and returns a DataFrame that reads it; rows: about how many of a few numbers each, where known.
+
+        Files then follow the rows, not the shuffle partitions: each file written starts processes for its permissions.
+        """
         self.written += 1
+        if rows is not None:
+            df = df.coalesce(max(FEWEST_FILES, rows // ROWS_PER_FILE))
         path = self.tables[name] = f"{self.root}/{name}-{self.written}"
         schema = df.schema
         df.write.parquet(path)
@@ -94,7 +101,7 @@ def connected_components(scratch: Scratch, edges: DataFrame, rounds: int = 60) -
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down)
-        fresh = scratch.cut(small.distinct(), f"cc-{step}")
+        fresh = scratch.cut(small.distinct(), f"cc-{step}", before[0])
         scratch.drop(name)
         after, name, current = _signature(fresh), f"cc-{step}", fresh
         if after == before:

@@ -130,8 +130,8 @@ def _forest(ring: int, values: np.ndarray, base: np.ndarray) -> list[tuple[int,
     return edges
 
 
-def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by bucket -> links (a, b), or (a, null) for the rows of a bucket beyond BUCKET_LIMIT."""
+def _links(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by bucket -> links (a, b), or (a, null) for the rows of a bucket beyond the limit."""
 
     def table(pairs: list[tuple[int, int]], beyond: np.ndarray | None = None) -> pd.DataFrame:
         ends = np.array(pairs, dtype=np.uint64).reshape(-1, 2).view(np.int64)
@@ -157,18 +157,18 @@ def _links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             key, values, base = (np.concatenate(x) for x in zip(rest, (key, values, base)))
         cuts = np.flatnonzero(np.diff(key)) + 1
         last = int(cuts[-1]) if len(cuts) else 0
-        if len(key) - last > BUCKET_LIMIT:
+        if len(key) - last > limit:
             yield table([], values[last:])
             over, rest = int(key[-1]), None
         else:
             rest = tuple(x[last:].copy() for x in (key, values, base))
         if last:
-            yield from _runs(key[:last], values[:last], base[:last], table)
+            yield from _runs(key[:last], values[:last], base[:last], table, limit)
     if rest is not None and len(rest[0]):
-        yield from _runs(*rest, table)
+        yield from _runs(*rest, table, limit)
 
 
-def _runs(key, values, base, table) -> Iterator[pd.DataFrame]:
+def _runs(key, values, base, table, limit) -> Iterator[pd.DataFrame]:
     starts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1))
     sizes = np.diff(np.concatenate((starts, [len(key)])))
     two = starts[sizes == 2]
@@ -178,7 +178,7 @@ def _runs(key, values, base, table) -> Iterator[pd.DataFrame]:
     pairs = list(zip(values[near].tolist(), values[near + 1].tolist()))
     for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
         own = slice(at, at + size)
-        if size > BUCKET_LIMIT:
+        if size > limit:
             yield table([], values[own])
         elif base[own].any():
             pairs += _forest(int(key[at]) >> 32, values[own], base[own])
@@ -197,22 +197,35 @@ def _balls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"ball": (part[:, None] ^ _BALL[None, :]).reshape(-1).view(np.int64), "fp": np.repeat(part, len(_BALL)).view(np.int64)})
 
 
-def near_links(scratch: Scratch, distinct_fps: DataFrame) -> DataFrame:
+def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ball -> links between neighbours of a ball, which join all its members."""
+    ball, fp = None, None
+    for batch in batches:
+        balls, fps = batch["ball"].to_numpy(dtype=np.int64), batch["fp"].to_numpy(dtype=np.int64)
+        if ball is not None:
+            balls, fps = np.concatenate(([ball], balls)), np.concatenate(([fp], fps))
+        ball, fp = balls[-1], fps[-1]
+        same = np.flatnonzero((balls[1:] == balls[:-1]) & (fps[1:] != fps[:-1]))
+        yield pd.DataFrame({"a": fps[same], "b": fps[same + 1]}).drop_duplicates()
+
+
+def near_links(scratch: Scratch, distinct_fps: DataFrame, limit: int = BUCKET_LIMIT) -> DataFrame:
     """Links (a, b) whose connected components are those of all pairs of fp within TAU bits. distinct_fps: fp, no repeats.
 
-    Members of buckets beyond BUCKET_LIMIT link through every key at most TAU / 2 bits away that they share: two
-    fingerprints share such a key exactly if they are within TAU bits, so links to the key's smallest member are enough.
+    Members of buckets beyond the limit link through every key at most TAU / 2 bits away that they share: two fingerprints
+    share such a key exactly if they are within TAU bits, so links between a key's neighbours are enough, and a key has
+    no more members than it has keys around.
     """
     keyed = distinct_fps.select("fp").mapInPandas(_keys, "bucket long, fp long, base boolean")
-    found = scratch.cut(keyed.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInPandas(_links, "a long, b long"), "simhash-links")
+    found = keyed.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInPandas(lambda batches: _links(batches, limit), "a long, b long")
+    found = scratch.cut(found, "simhash-links")
     scratch.collect_shuffles()
-    links = found.where("b IS NOT NULL")
+    links = found.where("b IS NOT NULL").distinct()
     crowded = found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
     if crowded.isEmpty():
         return links
     balls = crowded.mapInPandas(_balls, "ball long, fp long")
-    first = balls.groupBy("ball").agg(F.min("fp").alias("least"))
-    return links.union(balls.join(first, "ball").where("fp <> least").select("least", "fp").distinct())
+    return links.union(balls.repartition("ball").sortWithinPartitions("ball", "fp").mapInPandas(_meetings, "a long, b long").distinct())
 
 
 def components(scratch: Scratch, prints: DataFrame, links: DataFrame | None = None) -> DataFrame:
@@ -223,7 +236,7 @@ def components(scratch: Scratch, prints: DataFrame, links: DataFrame | None = No
     nodes = scratch.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     joined = connected_components(scratch, near_links(scratch, nodes) if links is None else links)
     labelled = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    labelled = scratch.cut(labelled, "simhash-labelled")
+    labelled = scratch.cut(labelled, "simhash-labelled", nodes.count())
     ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     return labelled.join(ids, "component").select("fp", "component", "component_id")
 
