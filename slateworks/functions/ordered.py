@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slateworks.functions.scratch import written
+
 
 def running_sums(df: DataFrame, by: str, values: list[str], descending: bool = True) -> DataFrame:
     """df with run_<value>: the sum of value over all rows up to this one in the order of by, whose values are distinct.
@@ -13,7 +15,7 @@ def running_sums(df: DataFrame, by: str, values: list[str], descending: bool = T
     many as partitions.
     """
     order = F.desc(by) if descending else F.asc(by)
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = written(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()), "ranged")
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_part").agg(*(F.sum(v).alias(f"_sum_{v}") for v in values))
     before = totals.select("_part", *(F.coalesce(F.sum(f"_sum_{v}").over(earlier), F.lit(0)).alias(f"_before_{v}") for v in values))

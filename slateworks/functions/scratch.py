@@ -7,21 +7,37 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset: a temporary one if all runs in this process, else RuntimeError."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="slateworks-")
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The table, written as Parquet below spark.checkpoint.dir and read again: short plans, pruned columns, nothing lost with
+    """The table, written as Parquet below the shared folder and read again: short plans, pruned columns, nothing lost with
     an executor. It goes when the driver ends."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="slateworks-")
-    path, schema = f"{root.rstrip('/')}/slateworks-{uuid.uuid4().hex}/{name}", df.schema
-    df.write.parquet(path)
+    root = f"{shared_root(spark)}/slateworks-{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(f"{root}/{name}")
 
     def remove() -> None:
         with contextlib.suppress(Exception):
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            delete(spark, root)
 
     atexit.register(remove)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(f"{root}/{name}")

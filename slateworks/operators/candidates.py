@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slateworks.functions.hashing import draw, hash_key
+from slateworks.functions.scratch import written
 
 
 def indexed(items: DataFrame, item: str = "item_id") -> DataFrame:
     """Distinct items with index from 0 in their order. Each partition of the sorted items counts on its own."""
-    ordered = items.select(item).distinct().repartitionByRange(item).sortWithinPartitions(item).withColumn("_part", F.spark_partition_id()).persist()
+    ordered = written(items.select(item).distinct().repartitionByRange(item).sortWithinPartitions(item).withColumn("_part", F.spark_partition_id()), "items")
     # As many rows as there are partitions.
     before = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     at = F.row_number().over(Window.partitionBy("_part").orderBy(item))
@@ -25,12 +26,25 @@ def chunks(positives: DataFrame, size: int, seed: int | None, order: tuple[str,
     return out if max_groups is None else out.where(F.col("chunk") < offset + max_groups)
 
 
-def draw_negatives(groups: DataFrame, catalog: DataFrame, observed: DataFrame, seed: int, tag: str = "negative", attempts: int = 4, excluded: DataFrame | None = None, index: DataFrame | None = None, user: str = "user_id", item: str = "item_id") -> DataFrame:
+#: Items a scan gives a user by one row, so that no row holds the whole catalog.
+SCAN_BLOCK = 50_000
+
+
+def _lacking(groups: DataFrame, found: DataFrame, user: str) -> DataFrame:
+    """groups with _have, the number of items found, where that is less than need."""
+    have = found.groupBy(user, "chunk").agg(F.count(F.lit(1)).alias("_have"))
+    joined = groups.select(user, "chunk", "need").join(have, [user, "chunk"], "left")
+    return joined.withColumn("_have", F.coalesce("_have", F.lit(0))).where(F.col("_have") < F.col("need"))
+
+
+def draw_negatives(groups: DataFrame, catalog: DataFrame, observed: DataFrame, seed: int, tag: str = "negative", attempts: int = 4, excluded: DataFrame | None = None, index: DataFrame | None = None, user: str = "user_id", item: str = "item_id", strict: bool = True) -> DataFrame:
     """(user, chunk, item) for groups(user, chunk, need): need distinct items that the user has not observed.
 
-    A table of draws, attempts * need + 16 for each group, meets the catalog by index; what is observed or excluded goes, and the
-    first need distinct items stay. The work grows with the groups, not with users times items. Groups that stay short, which
-    needs a user who has seen nearly all, are filled by an exact scan of the catalog for those users.
+    A table of draws meets the catalog by index; what is observed or excluded goes, and the first need distinct items stay.
+    Each group first has half as many draws again as it needs; groups left short get attempts * need + 16; what is short
+    still, which needs a user who has seen most of the catalog, is filled by a scan of the catalog for that user. So the
+    work grows with the groups, not with users times items, and no group stays short that could be full. ValueError for a
+    group with too few unseen items; with strict=False it gets all there are.
     """
     index = indexed(catalog, item) if index is None else index
     n = index.count()
@@ -38,27 +52,43 @@ def draw_negatives(groups: DataFrame, catalog: DataFrame, observed: DataFrame, s
         raise ValueError("the catalog is empty")
     seen = observed.select(user, item).distinct()
     seen = seen if excluded is None else seen.union(excluded.select(user, item)).distinct()
-    drawn = groups.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("need") * attempts + 15)))
-    drawn = drawn.withColumn("index", draw(tag, seed, F.lit(n), user, F.col("chunk").cast("string"), F.col("_j").cast("string")))
-    fresh = drawn.join(index, "index").join(seen, [user, item], "left_anti")
-    first = fresh.groupBy(user, "chunk", "need", item).agg(F.min("_j").alias("_j"))
-    return first.withColumn("_at", F.row_number().over(Window.partitionBy(user, "chunk").orderBy("_j"))).where(F.col("_at") <= F.col("need")).select(user, "chunk", item)
 
+    def first(some: DataFrame, draws) -> DataFrame:
+        drawn = some.select(user, "chunk", "need", F.explode(F.sequence(F.lit(0), draws.cast("int"))).alias("_j"))
+        drawn = drawn.withColumn("index", draw(tag, seed, F.lit(n), user, F.col("chunk").cast("string"), F.col("_j").cast("string")))
+        fresh = drawn.join(index, "index").join(seen, [user, item], "left_anti").groupBy(user, "chunk", "need", item).agg(F.min("_j").alias("_j"))
+        at = F.row_number().over(Window.partitionBy(user, "chunk").orderBy("_j"))
+        return fresh.withColumn("_at", at).where(F.col("_at") <= F.col("need")).select(user, "chunk", item)
 
-def fill_short(groups: DataFrame, negatives: DataFrame, catalog: DataFrame, observed: DataFrame, seed: int, user: str = "user_id", item: str = "item_id") -> DataFrame:
-    """negatives, and for groups that have too few the missing ones by a scan of the catalog; ValueError where there are none."""
-    have = negatives.groupBy(user, "chunk").agg(F.count(F.lit(1)).alias("_have"))
-    short = groups.join(have, [user, "chunk"], "left").withColumn("_have", F.coalesce("_have", F.lit(0))).where(F.col("_have") < F.col("need")).persist()
+    most = F.col("need") * attempts + 15
+    found = written(first(groups, F.least(most, F.col("need") + F.ceil(F.col("need") / 2) + 7)), "draws")
+    short = written(_lacking(groups, found, user), "short")
+    if short.isEmpty():
+        return found
+    again = written(first(short, most), "draws")
+    found = found.join(short.select(user, "chunk"), [user, "chunk"], "left_anti").unionByName(again)
+    short = written(_lacking(short, again, user), "short")
     if short.isEmpty():
-        return negatives
-    open_ = short.crossJoin(catalog.select(item).distinct())
-    open_ = open_.join(observed.select(user, item).distinct(), [user, item], "left_anti").join(negatives, [user, "chunk", item], "left_anti")
-    more = open_.withColumn("_at", F.row_number().over(Window.partitionBy(user, "chunk").orderBy(hash_key("scan", seed, user, item), item))).where(F.col("_at") <= F.col("need") - F.col("_have"))
-    full = negatives.unionByName(more.select(user, "chunk", item))
-    lacking = short.join(more.groupBy(user, "chunk").agg(F.count(F.lit(1)).alias("_more")), [user, "chunk"], "left").where(F.col("_have") + F.coalesce("_more", F.lit(0)) < F.col("need")).first()
-    if lacking is not None:
-        raise ValueError(f"too few items that {lacking[user]} has not seen")
-    return full
+        return found
+    more = written(_scanned(short, again, index, n, seen, seed, user, item), "scanned")
+    if strict:
+        lacking = _lacking(short, again.unionByName(more), user).first()
+        if lacking is not None:
+            raise ValueError(f"{lacking[user]} has not seen {lacking['_have']} items only, {lacking['need']} are needed")
+    return found.unionByName(more)
+
+
+def _scanned(short: DataFrame, found: DataFrame, index: DataFrame, n: int, seen: DataFrame, seed: int, user: str, item: str) -> DataFrame:
+    """Items for groups that lack some, in hashed order, from all that their users have not seen.
+
+    These users have seen most of the catalog, so a scan is not much longer than the list of what they have seen.
+    """
+    starts = short.select(user).distinct().withColumn("_start", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(SCAN_BLOCK))))
+    every = starts.select(user, F.explode(F.sequence("_start", F.least(F.col("_start") + SCAN_BLOCK - 1, F.lit(n - 1)))).alias("index"))
+    unseen = every.join(index, "index").select(user, item).join(seen, [user, item], "left_anti")
+    open_ = short.join(unseen, user).join(found, [user, "chunk", item], "left_anti")
+    at = F.row_number().over(Window.partitionBy(user, "chunk").orderBy(hash_key("scan", seed, user, F.col("chunk").cast("string"), item), item))
+    return open_.withColumn("_at", at).where(F.col("_at") <= F.col("need") - F.col("_have")).select(user, "chunk", item)
 
 
 def non_interactions(positives: DataFrame, catalog: DataFrame, observed: DataFrame, m: int, total: int, seed: int, tag: str = "negative", temporal: tuple[str, ...] = (), max_groups: int | None = None, offset: int = 0, excluded: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass, field, is_dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slateworks.functions.scratch import written
 from slateworks.operators import candidates, policies, scorers, splits
 from slateworks.operators.filters import min_interactions, require_columns, with_target
 from slateworks.operators.joins import enrich
@@ -81,35 +82,35 @@ def alignment_candidates(rows: DataFrame, kept: DataFrame, items: DataFrame, con
 
     Negatives of val do not return in test.
     """
-    index = candidates.indexed(items).persist()
+    index = written(candidates.indexed(items), "index")
 
     def make(name: str, excluded: DataFrame | None) -> DataFrame:
         part = rows.where(F.col("split") == name)
         found = candidates.non_interactions(part, items, kept, config.m, config.total, config.seed, f"negative-{name}", max_groups=config.max_groups, excluded=excluded, index=index)
         return found.withColumn("split", F.lit(name))
 
-    val = make("val", None).persist()
+    val = written(make("val", None), "val")
     return val.unionByName(make("test", val.where("y = 0")))
 
 
 def alignment(users: DataFrame, items: DataFrame, interactions: DataFrame, config: TaskConfig) -> Task:
     """Observed training rows; held-out positives among items the user never touched. Negatives of val do not return in test."""
     require_columns(interactions, "user_id", "item_id")
-    kept = min_interactions(interactions, config.min_rows).persist()
-    rows = splits.random_fractions(kept, config.train, config.val, config.test, config.seed).persist()
+    kept = written(min_interactions(interactions, config.min_rows), "kept")
+    rows = written(splits.random_fractions(kept, config.train, config.val, config.test, config.seed), "split")
     return _finished(rows, alignment_candidates(rows, kept, items, config), users, items, config)
 
 
 def preference(users: DataFrame, items: DataFrame, interactions: DataFrame, config: TaskConfig, liked: str = "liked") -> Task:
     """Held-out groups of liked and disliked items, all observed."""
-    rows = splits.random_fractions(min_interactions(interactions, config.min_rows), config.train, config.val, config.test, config.seed).persist()
+    rows = written(splits.random_fractions(min_interactions(interactions, config.min_rows), config.train, config.val, config.test, config.seed), "split")
     parts = [candidates.observed_preferences(rows.where(F.col("split") == name), liked, config.m, config.total, config.seed, config.max_groups).withColumn("split", F.lit(name)) for name in ("val", "test")]
     return _finished(rows, parts[0].unionByName(parts[1]), users, items, config, sampled=False)
 
 
 def regression(users: DataFrame, items: DataFrame, interactions: DataFrame, config: TaskConfig, target: str = "rating") -> Task:
     """Observed rows with a target; no groups."""
-    rows = splits.random_fractions(with_target(min_interactions(interactions, config.min_rows), target), config.train, config.val, config.test, config.seed).persist()
+    rows = written(splits.random_fractions(with_target(min_interactions(interactions, config.min_rows), target), config.train, config.val, config.test, config.seed), "split")
     base = rows.select("split", "user_id", "item_id", F.col(target).alias("y"))
     out = enrich(base, users, with_item_statistics(items, rows.where("split = 'train'")))
     return Task(out, "y", [c for c in out.columns if c.startswith(("user_", "item_")) and c not in ("user_id", "item_id")], {"config": described(config)})
@@ -118,7 +119,7 @@ def regression(users: DataFrame, items: DataFrame, interactions: DataFrame, conf
 def cold_start(users: DataFrame, items: DataFrame, interactions: DataFrame, config: TaskConfig) -> Task:
     """Warm users train; each cold user has k rows of history and groups in order of time after it."""
     kept = min_interactions(interactions, config.min_rows)
-    rows = splits.cold_users(kept, config.k, config.val, config.test, config.seed).persist()
+    rows = written(splits.cold_users(kept, config.k, config.val, config.test, config.seed), "cold")
     cold = rows.where("split <> 'train'")
     parts = []
     for name in ("val", "test"):
@@ -134,7 +135,7 @@ def cold_start(users: DataFrame, items: DataFrame, interactions: DataFrame, conf
 
 def policy_ranking(users: DataFrame, items: DataFrame, interactions: DataFrame, config: TaskConfig, recommenders: dict, k: int = 10) -> Task:
     """(user, policy, item, rank, y): what each policy shows, with the held-out target of it."""
-    rows = splits.random_fractions(min_interactions(interactions, config.min_rows), config.train + config.val, 0.0, config.test, config.seed).persist()
+    rows = written(splits.random_fractions(min_interactions(interactions, config.min_rows), config.train + config.val, 0.0, config.test, config.seed), "split")
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     shown = None
     for recommend in recommenders.values():

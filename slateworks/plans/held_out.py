@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slateworks.operators import candidates, splits, tasks
+from slateworks.functions.scratch import written
+from slateworks.operators import candidates, policies, splits, tasks
 from slateworks.plans import shared, sql
 from slateworks.plans.registry import query
 from slateworks.sources import bindings
@@ -64,7 +65,7 @@ def test_excludes_val_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_COLD}, {sql.CATALOG}, {sql.chunked('p', '(SELECT user_id, item_id, position FROM cs WHERE split = ' + chr(39) + 'test' + chr(39) + ')', 5, None, 'position', 2, 1)}, {sql.negatives('n', 'p', '(SELECT * FROM cs WHERE split <> ' + chr(39) + 'train' + chr(39) + ')', 3, 4, 'temporal')} SELECT user_id, chunk, item_id, 1 AS y FROM p UNION ALL SELECT user_id, chunk, item_id, 0 FROM n")
 def temporal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cold users' groups in order of time, the first skipped, two kept."""
-    rows = splits.cold_users(shared.kept(spark, sf_dir), 5, 0.1, 0.2, 0).persist()
+    rows = written(splits.cold_users(shared.kept(spark, sf_dir), 5, 0.1, 0.2, 0), "cold")
     cold = rows.where("split <> 'train'")
     return candidates.non_interactions(rows.where("split = 'test'"), bindings.items(spark, sf_dir), cold, 3, 20, 4, "temporal", temporal=("position",), max_groups=2, offset=1)
 
@@ -122,10 +123,9 @@ def task_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     + "".join(
         f""",
 {sql.chunked('p' + s, f"(SELECT user_id, item_id FROM split WHERE split = '{s}' AND liked = 1)", 5, 0, max_groups=5)},
-g{s} AS (SELECT user_id, chunk, count(*) * 3 AS need FROM p{s} GROUP BY 1, 2),
-n{s} AS (SELECT * FROM (SELECT g.user_id, g.chunk, g.need, s.item_id, row_number() OVER (PARTITION BY g.user_id, g.chunk ORDER BY md5(concat_ws(':', 'preference', '0', g.user_id, CAST(g.chunk AS VARCHAR), s.item_id)), s.item_id) AS rk FROM g{s} g JOIN split s ON s.user_id = g.user_id AND s.split = '{s}' AND s.liked = 0) WHERE rk <= need),
-f{s} AS (SELECT user_id, chunk FROM n{s} GROUP BY 1, 2, need HAVING count(*) = need),
-a{s} AS (SELECT '{s}' AS split, user_id, item_id, user_id || ':{s}:' || chunk AS candidate_group, y FROM (SELECT user_id, chunk, item_id, 1 AS y FROM p{s} UNION ALL SELECT user_id, chunk, item_id, 0 FROM n{s}) JOIN f{s} USING (user_id, chunk))"""
+g{s} AS MATERIALIZED (SELECT user_id, chunk, count(*) * 3 AS need FROM p{s} GROUP BY 1, 2),
+n{s} AS MATERIALIZED (SELECT user_id, chunk, item_id FROM (SELECT *, count(*) OVER (PARTITION BY user_id, chunk) AS offered FROM (SELECT g.user_id, g.chunk, g.need, s.item_id, row_number() OVER (PARTITION BY g.user_id, g.chunk ORDER BY md5(concat_ws(':', 'preference', '0', g.user_id, CAST(g.chunk AS VARCHAR), s.item_id)), s.item_id) AS rk FROM g{s} g JOIN split s ON s.user_id = g.user_id AND s.split = '{s}' AND s.liked = 0)) WHERE rk <= need AND offered >= need),
+a{s} AS (SELECT '{s}' AS split, user_id, item_id, user_id || ':{s}:' || chunk AS candidate_group, y FROM (SELECT user_id, chunk, item_id, 1 AS y FROM p{s} WHERE (user_id, chunk) IN (SELECT user_id, chunk FROM n{s}) UNION ALL SELECT user_id, chunk, item_id, 0 FROM n{s}))"""
         for s in ("val", "test")
     )
     + " SELECT * FROM aval UNION ALL SELECT * FROM atest UNION ALL SELECT split, user_id, item_id, NULL, 1 FROM split WHERE split = 'train'"
@@ -144,3 +144,30 @@ def task_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def task_cold_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     task = tasks.cold_start(bindings.users(spark, sf_dir), bindings.items(spark, sf_dir), bindings.interactions(spark, sf_dir), shared.CONFIG)
     return _rows(task, "split", "user_id", "item_id", "candidate_group", "y")
+
+
+_DENSE = f"""WITH de AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id, CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 30 AS VARCHAR) AS item_id FROM events),
+cat AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx, count(*) OVER () AS size FROM (SELECT DISTINCT item_id FROM de)),
+op AS (SELECT user_id, CAST(0 AS BIGINT) AS chunk FROM de GROUP BY 1 HAVING count(*) + 2 <= (SELECT count(*) FROM cat))"""
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Users and the 30 items they meet again and again, so that most have seen nearly all; and the items."""
+    rows = bindings.snapshots(spark, sf_dir).select("user_id", (F.col("item_id").cast("long") % 30).cast("string").alias("item_id")).distinct()
+    return rows, rows.select("item_id").distinct()
+
+
+@query(f"{_DENSE}, {sql.negatives('n', 'op', 'de', 1, 5, 'dense', need='2')} SELECT user_id, item_id FROM n")
+def dense_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two unseen items of each user who has two, where draws alone rarely find them."""
+    rows, items = _dense(spark, sf_dir)
+    open_ = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + 2 <= items.count())
+    groups = open_.select("user_id", F.lit(0).cast("long").alias("chunk"), F.lit(2).alias("need"))
+    return candidates.draw_negatives(groups, items, rows, 5, "dense").select("user_id", "item_id")
+
+
+@query(f"{_DENSE}, us AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS chunk FROM de), {sql.negatives('n', 'us', 'de', 1, 5, 'random-policy', need='4')} SELECT user_id, item_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY md5(concat_ws(':', 'random-rank', '5', user_id, item_id)), item_id) AS BIGINT) AS rank FROM n")
+def policy_random_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four unseen items of each user, or all there are."""
+    rows, items = _dense(spark, sf_dir)
+    return policies.recommend_random(rows, rows.select("user_id"), items, 4, 5).select("user_id", "item_id", "rank")

@@ -44,7 +44,7 @@ def item_mode_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(scorers.score_items(*_parts(spark, sf_dir), "rating", scorers.mode))
 
 
-_HISTORY = "h AS (SELECT * FROM (SELECT user_id, item_id, rating, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC) AS rk FROM tr) WHERE rk <= 20)"
+_HISTORY = "h AS MATERIALIZED (SELECT * FROM (SELECT user_id, item_id, rating, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id DESC) AS rk FROM tr) WHERE rk <= 20)"
 
 
 def _histories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -57,12 +57,12 @@ def history_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorers.history(_histories(spark, sf_dir)[0], 20).select("user_id", "item_id")
 
 
-@query(f"{_SPLIT}, {_HISTORY}, u AS (SELECT user_id, avg(rating) AS s FROM h GROUP BY 1) {_ROWS.format(score='u.s')} JOIN u USING (user_id)")
+@query(f"{_SPLIT}, {_HISTORY}, u AS MATERIALIZED (SELECT user_id, avg(rating) AS s FROM h GROUP BY 1) {_ROWS.format(score='u.s')} LEFT JOIN u USING (user_id)")
 def user_mean_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(scorers.score_users(*_histories(spark, sf_dir), "rating", scorers.mean))
 
 
-@query(f"{_SPLIT}, {_HISTORY}, u AS (SELECT user_id, rating AS s FROM (SELECT user_id, rating, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, rating) AS rk FROM h GROUP BY 1, 2) WHERE rk = 1) {_ROWS.format(score='u.s')} JOIN u USING (user_id)")
+@query(f"{_SPLIT}, {_HISTORY}, u AS MATERIALIZED (SELECT user_id, rating AS s FROM (SELECT user_id, rating, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, rating) AS rk FROM h GROUP BY 1, 2) WHERE rk = 1) {_ROWS.format(score='u.s')} LEFT JOIN u USING (user_id)")
 def user_mode_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(scorers.score_users(*_histories(spark, sf_dir), "rating", scorers.mode))
 

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-INTER = """inter AS (
+INTER = """inter AS MATERIALIZED (
   SELECT CAST(o_custkey AS VARCHAR) AS user_id, CAST(l_partkey AS VARCHAR) AS item_id, CAST(ceil(max(l_quantity) / 10) AS BIGINT) AS rating,
          CAST(sum(l_quantity) AS DOUBLE) AS playtime, CAST(min(CAST(o_orderdate AS DATE)) - DATE '1970-01-01' AS BIGINT) * 86400 AS ts,
          CASE WHEN ceil(max(l_quantity) / 10) >= 4 THEN 1 ELSE 0 END AS liked
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"""
 KEPT = INTER + """,
-kept AS (SELECT * FROM inter WHERE user_id IN (SELECT user_id FROM inter GROUP BY 1 HAVING count(*) >= 10))"""
+kept AS MATERIALIZED (SELECT * FROM inter WHERE user_id IN (SELECT user_id FROM inter GROUP BY 1 HAVING count(*) >= 10))"""
 
 
 def split(train: float, val: float, test: float, seed: int = 0, source: str = "kept", name: str = "split", group: str = "user_id") -> str:
     share = val / (train + val)
-    return f"""{name} AS (
+    return f"""{name} AS MATERIALIZED (
   SELECT * EXCLUDE (rk, n, nt, nv), CASE WHEN rk <= nt THEN 'test' WHEN rk <= nt + nv THEN 'val' ELSE 'train' END AS split FROM (
     SELECT *, ceil(CAST({share!r} AS DOUBLE) * (n - nt)) AS nv FROM (
       SELECT *, ceil(CAST({test!r} AS DOUBLE) * n) AS nt FROM (
@@ -34,15 +34,21 @@ def chunked(name: str, source: str, size: int, seed: int | None, order: str = ""
 def negatives(name: str, placed: str, observed: str, m: int, seed: int, tag: str, excluded: str | None = None, need: str | None = None, attempts: int = 4) -> str:
     need = need or f"count(*) * {m}"
     ban = f" UNION SELECT user_id, item_id FROM {excluded}" if excluded else ""
-    return f"""{name} AS (
+    seen = f"(SELECT user_id, item_id FROM {observed}{ban})"
+    return f"""{name}_n AS MATERIALIZED (SELECT user_id, chunk, {need} AS need FROM {placed} GROUP BY 1, 2),
+{name}_d AS MATERIALIZED (
   SELECT user_id, chunk, item_id FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id, chunk ORDER BY j) AS rk FROM (
       SELECT d.user_id, d.chunk, d.need, cat.item_id, min(d.j) AS j FROM (
         SELECT *, CAST('0x' || substr(md5(concat_ws(':', '{tag}', '{seed}', user_id, CAST(chunk AS VARCHAR), CAST(j AS VARCHAR))), 1, 8) AS BIGINT) % (SELECT max(size) FROM cat) AS idx
-        FROM (SELECT user_id, chunk, need, unnest(range(0, need * {attempts} + 16)) AS j FROM (SELECT user_id, chunk, {need} AS need FROM {placed} GROUP BY 1, 2))) d
+        FROM (SELECT user_id, chunk, need, unnest(range(0, need * {attempts} + 16)) AS j FROM {name}_n)) d
       JOIN cat ON cat.idx = d.idx
-      WHERE NOT EXISTS (SELECT 1 FROM (SELECT user_id, item_id FROM {observed}{ban}) x WHERE x.user_id = d.user_id AND x.item_id = cat.item_id) GROUP BY 1, 2, 3, 4))
-  WHERE rk <= need)"""
+      WHERE NOT EXISTS (SELECT 1 FROM {seen} x WHERE x.user_id = d.user_id AND x.item_id = cat.item_id) GROUP BY 1, 2, 3, 4))
+  WHERE rk <= need),
+{name}_s AS MATERIALIZED (SELECT g.user_id, g.chunk, g.need - count(d.item_id) AS lack FROM {name}_n g LEFT JOIN {name}_d d USING (user_id, chunk) GROUP BY g.user_id, g.chunk, g.need HAVING count(d.item_id) < g.need),
+{name} AS (SELECT * FROM {name}_d UNION ALL SELECT user_id, chunk, item_id FROM (
+  SELECT g.*, cat.item_id, row_number() OVER (PARTITION BY g.user_id, g.chunk ORDER BY md5(concat_ws(':', 'scan', '{seed}', g.user_id, CAST(g.chunk AS VARCHAR), cat.item_id)), cat.item_id) AS rk FROM {name}_s g, cat
+  WHERE NOT EXISTS (SELECT 1 FROM {seen} x WHERE x.user_id = g.user_id AND x.item_id = cat.item_id) AND NOT EXISTS (SELECT 1 FROM {name}_d d WHERE d.user_id = g.user_id AND d.chunk = g.chunk AND d.item_id = cat.item_id)) WHERE rk <= lack)"""
 
 
 def alignment(m: int = 3, total: int = 20, max_groups: int = 5, seed: int = 0) -> str:

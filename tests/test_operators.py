@@ -103,11 +103,23 @@ def test_negatives_are_unseen_and_groups_full(spark):
     assert all(len(g) == 6 and sum(r.y for r in g) == 2 and len({r.item_id for r in g}) == 6 for g in groups.values())
     few = items.limit(45)
     need = rows.select("user_id").distinct().select("user_id", F.lit(0).cast("long").alias("chunk"), F.lit(25).alias("need"))
-    drawn = candidates.draw_negatives(need, few, rows, 1, attempts=1)
-    full = candidates.fill_short(need, drawn, few, rows, 1)
-    assert {r["count"] for r in full.groupBy("user_id").count().collect()} == {25}
+    full = candidates.draw_negatives(need, few, rows, 1, attempts=1)
+    assert {r["count"] for r in full.distinct().groupBy("user_id").count().collect()} == {25}
+    assert full.join(rows, ["user_id", "item_id"]).isEmpty()
     with pytest.raises(ValueError):
-        candidates.fill_short(need.withColumn("need", F.lit(50)), drawn, few, rows, 1)
+        candidates.draw_negatives(need.withColumn("need", F.lit(50)), few, rows, 1)
+
+
+def test_users_who_have_seen_nearly_all_get_what_is_left(spark):
+    items = spark.createDataFrame([(f"i{i:03d}",) for i in range(200)], "item_id string")
+    seen = spark.createDataFrame([("u", f"i{i:03d}") for i in range(190)] + [("v", f"i{i:03d}") for i in range(195)] + [("w", f"i{i:03d}") for i in range(200)], "user_id string, item_id string")
+    need = spark.createDataFrame([("u", 0, 9), ("u", 1, 10)], "user_id string, chunk long, need int")
+    out = candidates.draw_negatives(need, items, seen, 3).collect()
+    for chunk, n in ((0, 9), (1, 10)):
+        got = {r.item_id for r in out if r.chunk == chunk}
+        assert len(got) == n and all(i >= "i190" for i in got)
+    shown = policies.recommend_random(seen, seen.select("user_id"), items, 10, 3).collect()
+    assert sorted((r.user_id, r.rank) for r in shown) == [("u", i) for i in range(1, 11)] + [("v", i) for i in range(1, 6)]
 
 
 def test_tasks_do_not_leak(spark):
