@@ -1,9 +1,14 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that each block of the page is a line. Elements that are never text (scripts, forms, ..) and those that
-say what they are (menus, footers, adverts, comments, ..) leave blank lines instead. Over the line lengths slide windows of
-WINDOW lines; text begins where their sum surges above SURGE and ends where it dives to nothing, and all lines between stay,
-short ones too. Within an element that a page itself marks as its article, the surge needs no height: the mark is enough.
+Markup is stripped so that each block of the page is a line. What counts is the length of a line outside of links, 0 for
+a line that is mostly links. Over these lengths slide windows of WINDOW lines: a stretch of text surges where a window's
+sum reaches SURGE, and dives where it falls to nothing. The text between stays, short lines too; menus and lists of links
+are dives wherever they are.
+
+Elements that are never text (scripts, forms, menus, ..) leave one blank line, so a single one does not part a text. Names
+of elements (class, id, role) only count where the head of a whole name says so, and only for blocks that are short or
+beside a text that surges without them. A marked article ends stretches at its borders and keeps its own short ones; text
+outside stays beside it if it is no shorter than half of it, and an article that is short beside the text around is a teaser.
 """
 
 from __future__ import annotations
@@ -11,6 +16,8 @@ from __future__ import annotations
 import html as html_
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,8 +26,12 @@ from pyspark.sql import functions as F
 from slateworks.llm._common import bounded_batches
 
 WINDOW, SURGE = 3, 80
-#: Share of a run's characters inside links above which it counts as a menu.
+#: Share of a line's characters inside links above which it counts as links only.
 LINKS = 0.5
+#: Characters up to which a block is dropped for what it is named.
+SHORT = 1000
+#: Share of the longest article from which text outside stays, and of the text outside below which an article is a teaser.
+BESIDE, TEASER = 0.5, 0.25
 
 #: Elements without text of their own.
 _NEVER = frozenset("script style noscript template svg math iframe object embed applet canvas audio video map head title select option datalist button textarea input form nav footer aside menu dialog".split())
@@ -28,53 +39,97 @@ _NEVER = frozenset("script style noscript template svg math iframe object embed
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-_ARTICLE = frozenset(("article", "main"))
-#: Words in class, id or role that tell what an element is.
-_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar rail footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist respond replies reply disqus discussion share sharing social related recommended newsletter subscribe subscription signup login search widget widgets toolbar pagination pager copyright disclaimer complementary contentinfo skip hidden".split())
-#: These only tell it outside of an article, where they may name the article's own parts.
-_OUTSIDE = frozenset("header top".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What an element may be called that is no part of the text.
+_WORDS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar rail footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay comment comments commentlist respond replies reply disqus discussion share sharing social related recommended newsletter subscribe subscription signup login search widget widgets toolbar pagination pager copyright disclaimer complementary contentinfo skip header top".split())
+#: Parts of a name behind its head, and parts before it that deny it.
+_TAILS = frozenset("area bar block body box buttons col column container content form group holder inner item items link links list module outer panel region row section slot text thread unit wrap wrapper".split())
+_DENIALS = frozenset("has with no without not non".split())
+#: Names that head an article as well as a page.
+_HEADERS = frozenset("header top".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s|["'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|$))""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
-def _says_no(attributes: str, inside: bool) -> bool:
+def _hidden(attributes: str) -> bool:
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if name in ("class", "id", "role"):
-            parts = {p.lower() for p in _PART.findall(value)}
-            if parts & _WORDS or not inside and parts & _OUTSIDE:
-                return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool, int]]:
-    """The blocks of a page in order: text, whether within an article, characters inside links. Blank lines part the runs."""
-    out: list[tuple[str, bool, int]] = []
-    stack: list[tuple[str, bool]] = []
+def _named(attributes: str, inside: bool) -> int:
+    """2 where a whole class, id or role is one of the words, 1 where it is the head of one, else 0; inside: in an article."""
+    most = 0
+    for name, value in _ATTRIBUTE.findall(attributes):
+        if name.lower() not in ("class", "id", "role"):
+            continue
+        for token in value.strip("\"'").split():
+            parts = [x.lower() for x in _PART.findall(token)]
+            if not parts or parts[0] in _DENIALS:
+                continue
+            last = len(parts) - 1
+            while last and (parts[last] in _TAILS or parts[last].isdigit()):
+                last -= 1
+            if parts[last] in _WORDS and not (inside and parts[last] in _HEADERS):
+                most = max(most, 2 if len(parts) == 1 else 1)
+    return most
+
+
+@dataclass
+class Page:
+    """The lines of a page, blank ones where something was removed: text, length outside of links, article or 0, whether in
+    main, and the innermost named element around, or -1; the named elements: how surely named, and the next one around."""
+
+    text: list[str] = field(default_factory=list)
+    length: list[int] = field(default_factory=list)
+    article: list[int] = field(default_factory=list)
+    main: list[bool] = field(default_factory=list)
+    named: list[int] = field(default_factory=list)
+    elements: list[tuple[int, int]] = field(default_factory=list)
+
+
+def lines(page: str) -> Page:
+    """The blocks of a page in order."""
+    out = Page()
+    #: name, whether skipped, whether it is a named element
+    stack: list[tuple[str, bool, bool]] = []
+    around: list[int] = []
     text: list[str] = []
     linked: list[str] = []
-    skipped = articles = links = 0
+    skipped = links = mains = articles = count = titles = 0
     at, end = 0, len(page)
 
+    def add(line: str, length: int) -> None:
+        out.text.append(line)
+        out.length.append(length)
+        out.article.append(count if articles else 0)
+        out.main.append(mains > 0)
+        out.named.append(around[-1] if around else -1)
+
     def flush(blank: bool = False) -> None:
         joined = " ".join(html_.unescape("".join(text)).split())
         if joined:
-            out.append((joined, articles > 0, min(len(joined), len(" ".join(html_.unescape("".join(linked)).split())))))
-        if blank and out and out[-1][0]:
-            out.append(("", False, 0))
+            inside = len(" ".join(html_.unescape("".join(linked)).split()))
+            add(joined, len(joined) if titles else 0 if inside > LINKS * len(joined) else len(joined) - inside)
+        if blank:
+            add("", 0)
         text.clear()
         linked.clear()
 
     def close(n: int) -> None:
-        nonlocal skipped, articles, links
+        nonlocal skipped, articles, links, mains, titles
         while len(stack) > n:
-            name, skip = stack.pop()
+            name, skip, is_named = stack.pop()
             skipped -= skip
-            articles -= name in _ARTICLE
+            articles -= name == "article"
+            mains -= name == "main"
             links -= name == "a"
+            titles -= name == "h1"
+            if is_named:
+                around.pop()
 
     while at < end:
         m = _TOKEN.search(page, at)
@@ -99,8 +154,6 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
                 flush()
             if found is not None:
                 before = skipped
-                if name in _ARTICLE and not skipped:
-                    flush(True)
                 close(found)
                 if before and not skipped:
                     flush(True)
@@ -122,60 +175,103 @@ def lines(page: str) -> list[tuple[str, bool, int]]:
                     break
         if name in _VOID or attributes.endswith("/") and name not in _BLOCK:
             continue
-        inside = articles > 0
-        skip = name in _NEVER or name not in ("html", "body", "article", "main") and _says_no(attributes, inside) or name == "header" and not inside
+        inside = articles + mains > 0
+        skip = name in _NEVER or name == "header" and not inside or name not in ("html", "body") and _hidden(attributes)
         if skip and not skipped:
-            flush(True)
+            flush()
         if name in _RAW:
             stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else end if name in ("script", "style") else at
             continue
-        if name in _ARTICLE and not skipped:
-            flush(True)
-        stack.append((name, skip))
+        sure = 0 if skip or skipped or name not in _BLOCK or name in ("html", "body", "article", "main") or name in _HEADINGS else _named(attributes, inside)
+        if sure:
+            out.elements.append((sure, around[-1] if around else -1))
+            around.append(len(out.elements) - 1)
+        stack.append((name, skip, bool(sure)))
         skipped += skip
-        articles += name in _ARTICLE
+        count += name == "article" and not articles
+        articles += name == "article"
+        mains += name == "main"
         links += name == "a"
+        titles += name == "h1"
     flush()
     return out
 
 
-def surges(lengths: list[int], least: int, window: int = WINDOW) -> list[tuple[int, int]]:
-    """Runs of lines, begin and end: from where the sum over a window surges to least or more, to where lines are blank again.
-
-    A run takes the lines before its surge that follow the blank before it: the window reaches over them.
-    """
-    out, begin = [], 0
+def surges(lengths: list[int], least: int = SURGE, window: int = WINDOW) -> list[tuple[int, int, bool]]:
+    """Stretches of lines, begin and end, and whether they surge: from where the sum over a window rises above nothing to
+    where it dives to nothing again; it surges if some window's sum reaches the least."""
+    upto = [0, *accumulate(lengths)]
     n = len(lengths)
+    sums = [upto[min(i + window, n)] - upto[i] for i in range(n)]
+    out, begin = [], 0
     while begin < n:
         if not lengths[begin]:
             begin += 1
             continue
         end = begin
-        while end < n and lengths[end]:
+        while end < n and sums[end]:
             end += 1
-        sums = [sum(lengths[i : min(i + window, end)]) for i in range(begin, end)]
-        if max(sums) >= least:
-            out.append((begin, end))
+        out.append((begin, end, max(sums[begin:end]) >= least))
         begin = end
     return out
 
 
+def _dropped(page: Page) -> set[int]:
+    """Named elements that go: short ones, and long ones beside a text that surges without any of them."""
+    size = [0] * len(page.elements)
+    for text, i in zip(page.text, page.named):
+        if i >= 0:
+            size[i] += len(text)
+    for i in range(len(size) - 1, -1, -1):
+        if page.elements[i][1] >= 0:
+            size[page.elements[i][1]] += size[i]
+    gone: set[int] = set()
+    clear = {-1}
+
+    def beside() -> tuple[bool, bool]:
+        lengths = [x if i in clear else 0 for x, i in zip(page.length, page.named)]
+        return any(lengths), any(s for _, _, s in surges(lengths))
+
+    some, surging = beside() if size else (False, False)
+    for i, (sure, parent) in enumerate(page.elements):
+        if parent in gone or surging or size[i] <= SHORT and (some or sure == 2):
+            gone.add(i)
+        else:
+            clear.add(i)
+            some, surging = beside()
+    return gone
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the main text, each with single spaces, joined by two line feeds; empty if there is none."""
     if not page:
         return ""
     found = lines(page)
-    if any(inside and text for text, inside, _ in found):
-        kept = [text if inside else "" for text, inside, _ in found]
-        runs = surges([len(t) for t in kept], 1)
-    else:
-        kept = [text for text, _, _ in found]
-        lengths = [len(t) for t in kept]
-        menu = lambda run: sum(x[2] for x in found[slice(*run)]) > LINKS * sum(lengths[slice(*run)])
-        every = [run for run in surges(lengths, 1) if not menu(run)]
-        runs = [run for run in surges(lengths, SURGE) if run in every] or sorted(every, key=lambda r: -sum(lengths[slice(*r)]))[:1]
-    return "\n\n".join(kept[i] for run in runs for i in range(*run))
+    gone = _dropped(found)
+    text = ["" if i in gone else t for t, i in zip(found.text, found.named)]
+    lengths = [x if t else 0 for t, x in zip(text, found.length)]
+    zone = found.article if any(z and t for z, t in zip(found.article, text)) else [int(m) for m in found.main]
+    stretches: dict[int, list[tuple[int, int, bool]]] = {}
+    begin = 0
+    for z, group in groupby(zone):
+        end = begin + len(list(group))
+        stretches.setdefault(z, []).extend((begin + b, begin + e, s) for b, e, s in surges(lengths[begin:end]))
+        begin = end
+    mass = lambda runs: sum(sum(lengths[b:e]) for b, e, _ in runs)
+    outside = stretches.pop(0, [])
+    peaks = [i for i, run in enumerate(outside) if run[2]]
+    outside = outside[peaks[0] : peaks[-1] + 1] if peaks else []
+    articles = {z: mass(runs) for z, runs in stretches.items() if mass(runs)}
+    kept = [run for z in articles for run in stretches[z] if articles[z] >= TEASER * mass(outside)]
+    if mass(outside) >= BESIDE * max(articles.values(), default=0):
+        kept += outside
+    if not kept:
+        every = [run for run in surges(lengths) if run[1] > run[0]]
+        kept = sorted(every, key=lambda r: -mass([r]))[:1] or [(0, len(text), False)] * any(zone)
+        if not every:
+            text = [t if z else "" for t, z in zip(text, zone)]
+    return "\n\n".join(t for b, e, _ in sorted(kept) for t in text[b:e] if t)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
