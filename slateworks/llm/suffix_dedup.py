@@ -1,12 +1,16 @@
-"""Removal of byte strings that occur twice, by prefix doubling over content-chosen positions.
-
-A string of LENGTH bytes that starts at p is named by ranks of ever longer strings around an anchor in it. The anchor is
-the position with the smallest hash of SEED_BYTES bytes among those at p .. p + LENGTH - SEED_BYTES, so equal strings have
-equal anchors, and one position in about 76 is an anchor. Round 0 ranks the anchors' SEED_BYTES bytes; each further round
-ranks longer strings, at growing offsets before and behind the anchor, for ever smaller groups of the strings that share
-it. A rank that occurs once ends all strings of its group; a group whose bytes all occur twice is done; the rest goes on,
-until a group is a single string of LENGTH bytes. Spark groups the ranks: no group of equal strings meets in one task
-except as a partially summed count.
+"""Removal of byte strings that occur twice: string ranks around content-chosen positions, and plain prefix doubling.
+
+repeated_spans, which the query uses: a string of LENGTH bytes that starts at p is named by ranks of ever longer strings
+around an anchor in it. The anchor is the position with the smallest hash of SEED_BYTES bytes among those at
+p .. p + LENGTH - SEED_BYTES, so equal strings have equal anchors, and one position in about 76 is an anchor. Round 0 ranks
+the anchors' SEED_BYTES bytes; each further round ranks longer strings, at growing offsets before and behind the anchor,
+for ever smaller groups of the strings that share it. A rank that occurs once ends all strings of its group; a group whose
+bytes all occur twice is done; the rest goes on, until a group is a single string of LENGTH bytes. Spark groups the ranks:
+no group of equal strings meets in one task except as a partially summed count.
+
+doubled_spans is the plain form: every position has a rank, pairs of ranks at offsets 25, 50 and 100 are sorted and ranked
+anew, and positions whose rank is unique drop out. It gives the same bytes, but its rows are all positions of the corpus;
+the README has its measured figures.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from slateworks.llm._common import Scratch
 LENGTH, SEED_BYTES = 200, 50
 #: Sizes of the groups of start offsets of one anchor after each round; 1 is a single string of LENGTH bytes.
 GROUPS = (38, 7, 1)
+#: Bytes of the first ranks of plain doubling; LENGTH is this times a power of 2.
+FIRST = 25
 #: Starts handled at once: bounds memory, and keeps positions within the low bits of what the sliding minimum compares.
 _BLOCK = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
@@ -272,6 +278,54 @@ def repeated_spans(scratch: Scratch, keyed: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def _positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts -> (row, p, rank) for each position with FIRST bytes from it on: two fingerprints of them in one."""
+    for batch in batches:
+        for row, text in zip(batch["row"], batch["text"]):
+            data = np.frombuffer(text, dtype=np.uint8)
+            for at in range(0, len(data) - FIRST + 1, _BLOCK):
+                part = data[at : at + _BLOCK + FIRST - 1]
+                where = np.arange(len(part) - FIRST + 1)
+                hasher = _Hasher(part)
+                rank = hasher.of(0, where, where + FIRST) ^ _mixed(hasher.of(1, where, where + FIRST))
+                yield pd.DataFrame({"row": np.full(len(where), row), "p": at + where, "rank": rank.view(np.int64)})
+
+
+def _reranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (rank, next) -> those whose pair occurs again, ranked by the place of the pair in the order."""
+    from pyspark import TaskContext
+
+    high, place, last, held = TaskContext.get().partitionId() << 40, 0, None, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        pairs = batch[["rank", "next"]].to_numpy()
+        new = np.concatenate(([last is None or tuple(pairs[0]) != last], (pairs[1:] != pairs[:-1]).any(axis=1)))
+        ranks = place + np.cumsum(new)
+        again = np.concatenate((~new[1:], [False])) | ~new
+        if held is not None and not new[0]:
+            yield held
+        out = batch[["row", "p"]].assign(rank=high + ranks)
+        # Whether the last row is alone shows in the next batch.
+        held = None if again[-1] else out.iloc[-1:]
+        place, last = int(ranks[-1]), tuple(pairs[-1])
+        yield out[again]
+
+
+def doubled_spans(scratch: Scratch, texts: DataFrame) -> DataFrame:
+    """(row, p) of texts(row, text) where a string of LENGTH bytes starts that starts anywhere else too, by prefix doubling."""
+    ranks, length = scratch.cut(texts.mapInPandas(_positions, "row long, p long, rank long"), "doubling"), FIRST
+    name = "doubling"
+    while length < LENGTH:
+        other = ranks.select("row", (F.col("p") - length).alias("p"), F.col("rank").alias("next"))
+        pairs = ranks.join(other, ["row", "p"])
+        order = ("rank", "next")
+        fresh = scratch.cut(pairs.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_reranked, "row long, p long, rank long"), f"doubling{length}")
+        scratch.drop(name)
+        ranks, length, name = fresh, 2 * length, f"doubling{length}"
+    return ranks.select("row", "p")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, runs) for every row of docs(doc_id, text).
 

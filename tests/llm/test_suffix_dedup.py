@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slateworks.llm import suffix_dedup
+from slateworks.llm._common import Scratch
 
 
 def brute(rows):
@@ -55,6 +56,18 @@ def test_matches_brute_force(spark):
     assert sorted(got, key=str) == brute(rows)
 
 
+def test_plain_doubling_matches_brute_force(spark):
+    rows = rows_()
+    data = [(i, (t or "").encode()) for i, (_, t) in enumerate(rows)]
+    seen = {}
+    for i, b in data:
+        for p in range(len(b) - 199):
+            seen.setdefault(b[p : p + 200], []).append((i, p))
+    expected = sorted(at for places in seen.values() if len(places) > 1 for at in places)
+    texts = spark.createDataFrame(data, "row long, text binary")
+    assert sorted(map(tuple, suffix_dedup.doubled_spans(Scratch(spark), texts).collect())) == expected
+
+
 def test_blocks_of_long_texts_agree():
     rng = np.random.default_rng(5)
     text = rng.integers(97, 100, 3000, dtype=np.uint8)
