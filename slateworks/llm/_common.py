@@ -5,33 +5,20 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slateworks.functions.scratch import delete as _delete
+from slateworks.functions.scratch import shared_root
+
 #: White space that separates words; everything else is part of a word.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Tables of a known number of small rows have a file for so many rows, but so many files at least.
 ROWS_PER_FILE, FEWEST_FILES = 100_000, 8
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="slateworks-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Rows go to Python by at most 2 MB at once, so that a worker's memory does not depend on the lengths of texts around.
 
@@ -49,7 +36,7 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.tables, self.written = spark, {}, 0
         bounded_batches(spark)
-        self.root = f"{checkpoint_root(spark)}/slateworks-{uuid.uuid4().hex}"
+        self.root = f"{shared_root(spark)}/slateworks-{uuid.uuid4().hex}"
         atexit.register(self._close)
 
     def _close(self) -> None:

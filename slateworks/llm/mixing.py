@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slateworks.functions.ordered import running_sums
 from slateworks.llm._common import WORD_PATTERN, Scratch
 
 WEIGHTS, TOTAL_SHARE, CAP, BLOCK, SEED = (3, 1, 2), 1.5, 2.0, 4096, 20240607
@@ -96,25 +97,35 @@ def targets(scratch: Scratch, by_source: DataFrame, total_share: float = TOTAL_S
     place = (F.col("_before") + F.col("_at") - 1) % len(weights)
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (place + 1).cast("int"))
     table = scratch.cut(numbered.join(before, "_part").select("source", "source_size", weight.alias("_w"), (F.col("source_size") * cap).alias("_cap")), "mix-weights")
-    total = (table.agg(F.sum("source_size")).first()[0] or 0) * total_share
-    level = -1.0
-    for _ in range(10_000):
-        full = F.col("_cap") <= F.col("_w") * level
-        row = table.agg(F.sum(F.when(full, F.col("_cap")).otherwise(0.0)).alias("c"), F.sum(F.when(~full, F.col("_w")).otherwise(0.0)).alias("w")).first()
-        if not row["w"]:
-            break
-        new = (total - (row["c"] or 0.0)) / row["w"]
-        if new <= level:
-            break
-        level = new
-    return table.select("source", "source_size", F.least("_cap", F.col("_w") * max(level, 0.0)).alias("target"))
+    sums = table.agg(F.sum("source_size").alias("size"), F.sum("_w").alias("w")).first()
+    total, every = (sums["size"] or 0) * total_share, sums["w"] or 0.0
+    # Sources fill up in the order of cap / weight; at the level where one does, those before are full, the others are not.
+    steps = table.groupBy((F.col("_cap") / F.col("_w")).alias("_level")).agg(F.sum("_cap").alias("c"), F.sum("_w").alias("w"))
+    filled = running_sums(steps, "_level", ["c", "w"], descending=False)
+    full = filled.where(F.col("run_c") + F.col("_level") * (F.lit(every) - F.col("run_w")) <= total).agg(F.max(F.struct("_level", "run_c", "run_w")).alias("s")).first()["s"]
+    rest = every - (full["run_w"] if full else 0.0)
+    level = (total - (full["run_c"] if full else 0.0)) / rest if rest > 0 else full["_level"] if full else 0.0
+    return table.select("source", "source_size", F.least("_cap", F.col("_w") * level).alias("target"))
+
+
+def ordered(scratch: Scratch, sized: DataFrame, seed: int = SEED) -> DataFrame:
+    """sized(row, doc_id, ..) with _order, a hash of doc_id, and of the row too where other rows have that doc_id.
+
+    So a doc_id that many rows have (null, say) is spread like any other, and unique ones are ordered alike in every run.
+    """
+    repeated = sized.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_again"))
+    repeated = scratch.cut(repeated, "mix-repeated")
+    if repeated.isEmpty():
+        return sized.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id"))
+    marked = sized.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    return marked.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("_again"), F.col("row")))).drop("_id", "_again")
 
 
-def copies(scratch: Scratch, sized: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for every row of sized(doc_id, source, size).
+def copies(scratch: Scratch, sized: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) for every row of sized(doc_id, source, size, _order).
 
-    Documents meet in blocks by a hash of their ids, so a source of any size is spread over tasks. The rounds end when each
-    source has one block.
+    Documents meet in blocks by their order, a hash that few rows share, so a source of any size is spread over tasks. The
+    rounds end when each source has one block.
     """
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
     by_source = scratch.cut(by_source, "mix-by-source")
@@ -122,11 +133,11 @@ def copies(scratch: Scratch, sized: DataFrame, seed: int = SEED, block: int = BL
     # A row for each source, as many as the table has documents at most: Spark picks how to join.
     known = by_source.withColumnRenamed("source", "_s").join(goal.withColumnRenamed("_s", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(CAP))).otherwise(0.0)
-    state = sized.join(known, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "source_size", "target", "_docs", ratio.alias("_ratio"))
+    state = sized.join(known, F.col("source").eqNullSafe(F.col("_s"))).select("doc_id", "source", "size", "source_size", "target", "_docs", "_order", ratio.alias("_ratio"))
     fixed = F.floor(F.col("_ratio") + _EPS)
     state = state.withColumn("_fixed", fixed).withColumn("p", F.greatest(F.col("_ratio") - fixed, F.lit(0.0))).drop("_ratio")
-    state = state.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_open", (F.col("p") > _EPS) & (F.col("p") < 1 - _EPS))
-    schema = "doc_id long, source string, size long, source_size long, target double, _docs long, _fixed long, p double, _order long, _open boolean"
+    state = state.withColumn("_open", (F.col("p") > _EPS) & (F.col("p") < 1 - _EPS))
+    schema = "doc_id long, source string, size long, source_size long, target double, _docs long, _order long, _fixed long, p double, _open boolean"
     out = [state.where("NOT _open")]
     open_, number = state.where("_open"), 0
     most = by_source.agg(F.max("_docs")).first()[0] or 0
@@ -158,17 +169,24 @@ def mix(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     light = sizes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"))
-    sized = scratch.cut(light.select("doc_id", "source", F.col("_size").alias("size")), "mix-sizes")
-    out = copies(scratch, sized)
+    sized = scratch.cut(light.select("doc_id", "source", F.col("_size").alias("size"), F.monotonically_increasing_id().alias("row")), "mix-sizes")
+    out = copies(scratch, ordered(scratch, sized).drop("row"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """docs with each row as many times as the mix takes it, all columns kept."""
+    """docs(doc_id, text, source, ..) with each row as many times as the mix takes it, all columns kept.
+
+    Rows that the mix leaves out go, texts that are null or hold no word among them where their source is not taken whole.
+    Null sources are a source of their own, repeated rows are decided one by one, a null doc_id is like any other, columns
+    beside may have any name, and an empty table gives an empty result.
+    """
     scratch = Scratch(docs.sparkSession)
     row = "_slateworks_row"
     own = scratch.cut(docs.withColumn(row, F.monotonically_increasing_id()), "mix-docs")
-    sized = scratch.cut(sizes(own.select(F.col(row).alias("doc_id"), F.col("source").cast("string").alias("source"), "text")).select("doc_id", "source", F.col("_size").alias("size")), "mix-sizes")
-    times = copies(scratch, sized).where("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").cast("int").alias("_slateworks_copies"))
+    light = sizes(own.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"))
+    sized = scratch.cut(light.select("row", "doc_id", "source", F.col("_size").alias("size")), "mix-sizes")
+    placed = ordered(scratch, sized).select(F.col("row").alias("doc_id"), "source", "size", "_order")
+    times = copies(scratch, placed).where("copies > 0").select(F.col("doc_id").alias(row), F.col("copies").cast("int").alias("_slateworks_copies"))
     joined = own.join(times, row)
     return joined.withColumn("_slateworks_copies", F.explode(F.sequence(F.lit(1), F.col("_slateworks_copies")))).select(*docs.columns)

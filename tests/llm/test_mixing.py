@@ -32,7 +32,7 @@ def documents(n, seed):
 @pytest.mark.parametrize("block", [16, 4096])
 def test_targets_and_totals(spark, block, monkeypatch):
     rows = documents(600, 1)
-    monkeypatch.setattr(mixing.copies, "__defaults__", (mixing.SEED, block))
+    monkeypatch.setattr(mixing.copies, "__defaults__", (block,))
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
     out = mixing.mix(df)
     first, second = (sorted(map(tuple, out.collect()), key=str) for out in (out, mixing.mix(df)))
@@ -53,6 +53,31 @@ def test_targets_and_totals(spark, block, monkeypatch):
         assert abs(taken[s] - goal[s]) <= biggest[s] + 1e-6
 
 
+def test_rows_of_one_id_are_spread(spark):
+    rows = [(None, "w " * (i % 7 + 1), "a") for i in range(3000)] + [(i % 2, "w w", "a") for i in range(3000)] + [(10 + i, "w", "b") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("row", F.lit(1))
+    scratch = mixing.Scratch(spark)
+    sized = df.select("doc_id", "source", F.lit(1).alias("size"), F.monotonically_increasing_id().alias("row"))
+    orders = mixing.ordered(scratch, sized).select("_order", "doc_id").distinct()
+    assert orders.count() == len(rows)
+    out = mixing.mix(df).collect()
+    assert len(out) == len(rows) and mixing.mixed(df).columns == df.columns
+
+
+def test_unique_ids_mix_alike_in_any_partitioning(spark):
+    df = spark.createDataFrame([(i, "w " * (i % 37), f"s{i % 3}") for i in range(900)], "doc_id long, text string, source string")
+    assert sorted(map(tuple, mixing.mix(df).collect())) == sorted(map(tuple, mixing.mix(df.repartition(7)).collect()))
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 200])
+def test_targets_of_many_sources(spark, n):
+    rng = np.random.default_rng(n)
+    by_source = {f"s{i:03d}": int(rng.integers(0, 10 ** int(rng.integers(1, 6)))) for i in range(n)}
+    table = spark.createDataFrame(list(by_source.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(mixing.Scratch(spark), table).collect()}
+    assert got == pytest.approx(brute_targets(by_source))
+
+
 def test_rows_are_repeated(spark):
     df = spark.createDataFrame(documents(100, 2), "doc_id long, text string, source string")
     counts = {}
