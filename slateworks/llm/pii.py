@@ -162,6 +162,9 @@ class Pseudonymizer:
         digits = "".join(c for c in m if c.isdigit())
         if not 7 <= len(digits) <= 15:
             return None
+        if (area := re.match(r"0\d+(?= ?[/-])", m)) is not None:
+            # With a trunk zero: the area code stays, so the number keeps its form.
+            return _refill(m, area[0] + self._digits("phone" + area[0], digits[len(area[0]) :]))
         if len(digits) >= 10 and (not m.startswith("+") or m.startswith("+1")):
             code, ten = digits[:-10], digits[-10:]
             valid = lambda s: s[0] > "1" and s[3] > "1"
@@ -238,7 +241,7 @@ _FIND = re.compile(
     r"|(?P<date>(?<![\d./-])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?![\d/-]|\.\d))"
     r"|(?P<ip>(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-]))"
+    r"|(?P<phone>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])|(?<![\d./-])0\d{1,4}(?: ?/ ?|-)\d{5,9}(?:[ -]\d{1,5}){0,2}(?![\d/-]))"
     r"|(?P<card>(?<![\d.])\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}(?!\d)|(?<![\d.])\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)|(?<![\d.])\d{12,19}(?!\d|\.\d))"
 )
 
@@ -267,7 +270,11 @@ def pseudonymize(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
 
 
 def with_pseudonyms(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """docs with pseudonyms in text, and n_chars to match; all other columns as they are."""
+    """docs(doc_id, text, ..) with pseudonyms in text and, where docs has n_chars, that count to match; else as they are.
+
+    Null texts stay null (so does their n_chars), empty ones empty; repeated rows, and equal values in any rows, get equal
+    pseudonyms; doc_id is not read; an empty table gives an empty result.
+    """
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
@@ -275,4 +282,5 @@ def with_pseudonyms(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
         own = Pseudonymizer(key)
         return pd.Series([None if t is None else own.text(t)[0] for t in texts], dtype=object)
 
-    return docs.withColumn("text", run(F.col("text"))).withColumn("n_chars", F.char_length("text").cast("long"))
+    out = docs.withColumn("text", run(F.col("text").cast("string")))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
