@@ -1,7 +1,8 @@
 """Near-duplicates among embeddings by cross-polytope hashing, with multiprobe buckets and verified pairs.
 
 A hash of a vector is the axis nearest to it after a random rotation (three rounds of random signs and a fast Hadamard
-transform). PARTS hashes together name a bucket of a table; each vector lies in its own bucket and probes the PROBES next
+transform); vectors of few dimensions are filled up with zeros to LEAST_DIM first, so that there are axes and rotations
+enough. PARTS hashes together name a bucket of a table, whatever the number of vectors; each vector lies in its own bucket and probes the PROBES next
 likely ones. Within a bucket every pair of an owner with another row is verified by its cosine in double precision. A pair
 that several tables find counts in the first of them. A bucket gives sums and a spanning forest of its links, never pairs.
 """
@@ -18,19 +19,16 @@ from pyspark.sql import functions as F
 
 from slateworks.llm._common import Scratch, connected_components
 
-COSINE, TABLES, PROBES, SEED = 0.98, 6, 5, 977
+COSINE, PARTS, TABLES, PROBES, SEED = 0.98, 4, 6, 5, 977
+#: With PARTS hashes of 2 * LEAST_DIM axes a table has 2^28 buckets for each label at least.
+LEAST_DIM = 64
 #: Rows of a bucket that meet in one task at once; larger buckets are cut into blocks, and every pair of blocks meets.
-BLOCK = 2048
+BLOCK = 4096
+#: Pairs of rows compared at once within a block.
+_PAIRS = 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def parts_for(vectors: int, dim: int) -> int:
-    """Hashes to a bucket: at least as many times the buckets as a hash has axes as there are vectors, so that vectors which
-    are not near rarely meet however many there are; two at least."""
-    axes = 2 * (1 << max(0, dim - 1).bit_length())
-    return max(2, 1 + math.ceil(math.log(max(2, vectors)) / math.log(axes)))
-
-
 def rotated(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     """Rows of x, filled up with zeros to the length of signs (rounds, n), after each round's signs and Hadamard transform."""
     n = signs.shape[1]
@@ -47,13 +45,13 @@ def rotated(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return y
 
 
-def bucket_keys(x: np.ndarray, label: np.ndarray, parts: int, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
+def bucket_keys(x: np.ndarray, label: np.ndarray, parts: int = PARTS, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
     """Keys (rows, tables, 1 + probes) of unit vectors: first each one's own bucket, then those probed, by how near they are."""
-    n = 1 << max(0, x.shape[1] - 1).bit_length()
+    n = max(LEAST_DIM, 1 << max(0, x.shape[1] - 1).bit_length())
     rng = np.random.default_rng([seed, x.shape[1]])
     rows = np.arange(len(x))
     out = np.empty((len(x), tables, 1 + probes), dtype=np.uint64)
-    top = min(n, 3)
+    top = 3
     for t in range(tables):
         axes, loss = [], []
         for _ in range(parts):
@@ -64,7 +62,7 @@ def bucket_keys(x: np.ndarray, label: np.ndarray, parts: int, tables: int = TABL
             value = size[rows[:, None], best]
             loss.append((value[:, :1] - value) ** 2)
         # The own bucket, then each change of one hash to its second or third axis, or of two to their second.
-        ways = [(0,) * parts, *(tuple(a if i == p else 0 for i in range(parts)) for p in range(parts) for a in range(1, top)), *(tuple(int(i in (p, q)) for i in range(parts)) for p in range(parts) for q in range(p) if top > 1)]
+        ways = [(0,) * parts, *(tuple(a if i == p else 0 for i in range(parts)) for p in range(parts) for a in range(1, top)), *(tuple(int(i in (p, q)) for i in range(parts)) for p in range(parts) for q in range(p))]
         cost = np.stack([sum(loss[p][:, a] for p, a in enumerate(w)) for w in ways], axis=1)
         cost[:, 0] = -1
         key = np.stack([_key(t, [axes[p][:, a] for p, a in enumerate(w)], label, x.shape[1]) for w in ways], axis=1)
@@ -83,13 +81,13 @@ def _key(table: int, axes: list[np.ndarray], label: np.ndarray, dim: int) -> np.
     return h ^ (h >> np.uint64(31))
 
 
-def _hashed(parts_of: dict[int, int], tables: int, probes: int):
+def _hashed(tables: int, probes: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, part in batch.groupby(batch["embedding"].map(len), sort=True):
                 x = np.array(part["embedding"].tolist(), dtype=float)
                 x /= np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(axis=1, keepdims=True)
-                keys = bucket_keys(x, part["label"].to_numpy(), parts_of[x.shape[1]], tables, probes).view(np.int64)
+                keys = bucket_keys(x, part["label"].to_numpy(), PARTS, tables, probes).view(np.int64)
                 yield pd.DataFrame({"cid": part["cid"], "n": part["n"], "unit": [r.tobytes() for r in x], "keys": list(keys.reshape(len(x), -1))})
 
     return run
@@ -111,8 +109,9 @@ def _met(tables: int, width: int, threshold: float):
             return i
 
         i_all = np.flatnonzero(left)
-        for at in range(0, len(i_all), 256):
-            i = i_all[at : at + 256]
+        rows_at_once = max(1, _PAIRS // len(cid))
+        for at in range(0, len(i_all), rows_at_once):
+            i = i_all[at : at + rows_at_once]
             near = (unit[i] @ unit.T >= threshold) & right[None, :] & (owner[i][:, None] | owner[None, :]) & (cid[i][:, None] != cid[None, :])
             # Within one block each pair shows twice; keep it once.
             near &= ~(left[None, :] & right[i][:, None]) | (cid[i][:, None] < cid[None, :])
@@ -122,15 +121,16 @@ def _met(tables: int, width: int, threshold: float):
             a = i[a]
             small, large = np.where(cid[a] < cid[b], a, b), np.where(cid[a] < cid[b], b, a)
             t = table[a]
-            ks, kl = keys[small], keys[large]
-            first = np.ones(len(a), dtype=bool)
+            # Reached: whether the larger one lies in or probes the smaller one's own bucket of the table, or the other way.
+            into = np.zeros((2, tables, len(a)), dtype=bool)
             for s in range(tables):
-                both = (ks[:, s, :1] == kl[:, s]).any(axis=1) | (kl[:, s, :1] == ks[:, s]).any(axis=1)
-                first &= ~(both & (s < t))
+                for w in range(width):
+                    into[0, s] |= keys[small, s, 0] == keys[large, s, w]
+                    into[1, s] |= keys[large, s, 0] == keys[small, s, w]
+            met = into.any(axis=0)
+            first = met.argmax(axis=0) == t
             # In its table the pair counts in the bucket of the smaller one if the larger reaches it, else in the larger's.
-            rows = np.arange(len(a))
-            reached = (ks[rows, t, 0][:, None] == kl[rows, t]).any(axis=1)
-            first &= np.where(reached, ks[rows, t, 0] == key, kl[rows, t, 0] == key)
+            first &= np.where(into[0, t, np.arange(len(a))], keys[small, t, 0] == key, keys[large, t, 0] == key)
             a, b = small[first], large[first]
             np.add.at(sums, a, n[b])
             np.add.at(sums, b, n[a])
@@ -183,8 +183,8 @@ def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
 def _links(scratch: Scratch, hashed: DataFrame, tables: int, probes: int, threshold: float) -> DataFrame:
     """(cid, links, other): see _met. Buckets beyond BLOCK rows are cut, and each pair of their blocks meets on its own."""
     width = 1 + probes
-    light = hashed.select("cid", F.posexplode("keys").alias("pos", "key"))
-    light = light.groupBy("cid", "key").agg(F.min(F.when(F.col("pos") % width == 0, F.col("pos"))).alias("own"), F.min("pos").alias("pos")).select("cid", "key", F.coalesce("own", "pos").alias("pos"))
+    # Within a table the own bucket comes first, and keys of different tables differ: the first place of a key is enough.
+    light = hashed.select("cid", "keys", F.posexplode("keys").alias("pos", "key")).where(F.array_position("keys", F.col("key")) == F.col("pos") + 1).select("cid", "key", "pos")
     crowd = light.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.bool_or(F.col("pos") % width == 0).alias("owned")).where("rows > 1 AND owned")
     hits = light.join(crowd.select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "key")
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
@@ -214,8 +214,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = COSINE, tables: int =
     light = light.withColumn("usable", usable)
     classes = light.where("usable").groupBy("label", "embedding").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"))
     classes = scratch.cut(classes.withColumn("cid", F.monotonically_increasing_id()), "embed-classes")
-    sizes = {r["dim"]: r["most"] for r in classes.groupBy(F.size("embedding").alias("dim"), "label").agg(F.count(F.lit(1)).alias("c")).groupBy("dim").agg(F.max("c").alias("most")).collect()}
-    hashed = scratch.cut(classes.select("cid", "n", "label", "embedding").mapInPandas(_hashed({d: parts_for(c, d) for d, c in sizes.items()}, tables, probes), "cid long, n long, unit binary, keys array<long>"), "embed-hashed")
+    hashed = scratch.cut(classes.select("cid", "n", "label", "embedding").mapInPandas(_hashed(tables, probes), "cid long, n long, unit binary, keys array<long>"), "embed-hashed")
     links = _links(scratch, hashed, tables, probes, threshold)
     sums = links.groupBy("cid").agg(F.sum("links").alias("links"))
     joined = connected_components(scratch, links.where("other IS NOT NULL").select(F.col("cid").alias("a"), F.col("other").alias("b")))
