@@ -40,3 +40,10 @@ def test_matches_brute_force(spark):
 def test_order_is_by_rejection_per_cost(spark):
     rows = [(i, " ".join(f"word{j}#" for j in range(60))) for i in range(30)]
     assert quality.order(spark.createDataFrame(rows, "doc_id long, text string"))[0] == "symbols"
+
+
+def test_cascade_counts_what_is_left():
+    patterns = [({"a", "b"}, 50), ({"b"}, 10), ({"c"}, 30), (set(), 100)]
+    assert quality.cascade(patterns, {"a": 1.0, "b": 2.0, "c": 1.0}) == ["a", "c", "b"]
+    assert quality.cascade(patterns, {"a": 1.0, "b": 1.0, "c": 1.0}) == ["b", "c", "a"]
+    assert quality.cascade([], {"b": 1.0, "a": 5.0}) == ["a", "b"]
