@@ -26,11 +26,16 @@ STARS = 2
 BLOCK = 500
 
 
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """Hashes of the distinct shingles, ascending; fewer words than a shingle are one shingle, no words an empty set."""
+def shingle_hashes(text: bytes | None) -> np.ndarray:
+    """Hashes of all shingles in order; fewer words than a shingle are one shingle, no words none."""
     words = (text or b"").lower().split()
     n, digest = min(SHINGLE, len(words)), xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[i : i + n]), SEED) for i in range(len(words) - n + 1 if n else 0)], dtype=np.uint64))
+    return np.array([digest(b" ".join(words[i : i + n]), SEED) for i in range(len(words) - n + 1 if n else 0)], dtype=np.uint64)
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending."""
+    return np.unique(shingle_hashes(text))
 
 
 def set_print(shingles: np.ndarray) -> int:
@@ -38,7 +43,7 @@ def set_print(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
 
 
-def _texts(docs: DataFrame, *columns: str) -> DataFrame:
+def texts_of(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.col("text").cast("string").cast("binary").alias("text"))
 
 
@@ -50,7 +55,7 @@ def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def set_prints(docs: DataFrame, id_type: str = "long") -> DataFrame:
     """(doc_id, fp long) of every row: the digest of its shingle set."""
-    light = _texts(docs.withColumn("doc_id", F.col("doc_id").cast(id_type)), "doc_id")
+    light = texts_of(docs.withColumn("doc_id", F.col("doc_id").cast(id_type)), "doc_id")
     return light.mapInPandas(_prints, f"doc_id {id_type}, fp long")
 
 
@@ -63,7 +68,7 @@ def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _common(docs: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are common in a sample, ascending, and how often they are there."""
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, rows // SAMPLE_ROWS))) == 0)
-    counts = _texts(sample).mapInPandas(_shingles, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    counts = texts_of(sample).mapInPandas(_shingles, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     top = sorted((r["shingle"] & (2**64 - 1), r["n"]) for r in counts.orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES).collect())
     return np.array([t[0] for t in top], dtype=np.uint64), np.array([t[1] for t in top], dtype=np.int64)
 
@@ -136,7 +141,7 @@ def _similar(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
     return pairs.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
 
-def _verified(scratch: Scratch, docs: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(scratch: Scratch, docs: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose whole sets have a similarity of 4/5 at least.
 
     Sets are dealt to blocks of about BLOCK. The pairs of two blocks are compared together, so that a set is sent once for
@@ -145,7 +150,7 @@ def _verified(scratch: Scratch, docs: DataFrame, prints: DataFrame, pairs: DataF
     fps = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     ids = prints.join(fps, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
     texts = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    sets = scratch.cut(_texts(texts).mapInPandas(_sets, "fp long, shingles binary").join(fps, "fp", "left_semi").dropDuplicates(["fp"]), "shingles-sets")
+    sets = scratch.cut(texts_of(texts).mapInPandas(_sets, "fp long, shingles binary").join(fps, "fp", "left_semi").dropDuplicates(["fp"]), "shingles-sets")
     blocks = F.lit(sets.count() // BLOCK + 1)
     block = lambda c: F.pmod(F.xxhash64(c), blocks)
     dealt = pairs.select(block("a").alias("i"), block("b").alias("j"), "a", "b")
@@ -153,21 +158,25 @@ def _verified(scratch: Scratch, docs: DataFrame, prints: DataFrame, pairs: DataF
     return dealt.groupBy("i", "j").cogroup(asked.groupBy("k", "l")).applyInPandas(_similar, "a long, b long")
 
 
-def similar_links(scratch: Scratch, docs: DataFrame, prints: DataFrame) -> DataFrame:
+def similar_links(scratch: Scratch, docs: DataFrame, prints: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Links (a, b) whose connected components are those of all pairs of different sets with similarity >= 4/5.
 
-    prints: set_prints of docs. Every pair that shares a bucket and may be similar is compared, unless links found before
-    join the two already.
+    prints: set_prints of docs. Every pair that shares a bucket and may be similar is compared, unless links found before,
+    known ones to begin with, join the two already.
     """
-    spread = _texts(docs).mapInPandas(_prefixes(*_common(docs, prints.count())), "shingle long, fp long, n int, place int")
+    spread = texts_of(docs).mapInPandas(_prefixes(*_common(docs, prints.count())), "shingle long, fp long, n int, place int")
     shared = scratch.cut(spread.repartition("shingle").sortWithinPartitions("shingle", "fp").mapInPandas(_shared, spread.schema), "shingles-shared")
     scratch.collect_shuffles()
-    rows, links = shared.withColumn("component", F.col("fp")), None
+
+    def with_components(links: DataFrame | None) -> DataFrame:
+        if links is None:
+            return shared.withColumn("component", F.col("fp"))
+        joined = scratch.cut(connected_components(scratch, links), "shingles-joined")
+        return shared.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("shingle", "fp", "n", "place", F.coalesce("component", "fp").alias("component"))
+
+    links = known
     for step in (*range(STARS), None):
-        pairs = scratch.cut(_candidates(rows, step), "shingles-pairs")
-        found = scratch.cut(_verified(scratch, docs, prints, pairs), "shingles-links")
+        pairs = scratch.cut(_candidates(with_components(links), step), "shingles-pairs")
+        found = scratch.cut(verified(scratch, docs, prints, pairs), "shingles-links")
         links = found if links is None else links.union(found)
-        if step is not None:
-            joined = scratch.cut(connected_components(scratch, links), "shingles-joined")
-            rows = shared.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("shingle", "fp", "n", "place", F.coalesce("component", "fp").alias("component"))
     return links

@@ -8,7 +8,7 @@ longer chains prune pairs before the full Hamming check. A bucket gives a spanni
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slateworks.llm._common import Scratch, connected_components
-from slateworks.llm.shingle_sets import set_prints, similar_links
+from slateworks.llm.shingle_sets import set_print, shingle_hashes, similar_links, texts_of, verified
 
 TAU, SEGMENTS, SHINGLE, SEED = 4, 5, 4, 42
 #: Buckets beyond this go the other exact way, by keys of radius TAU / 2, so that a task's memory stays bounded.
@@ -38,12 +38,17 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
     last = min(shingle, len(words)) - 1
     begin, end = starts[: len(words) - last].tolist(), (starts + lengths)[last:].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64)
-    for at in range(0, len(begin), _BLOCK):
-        part = [digest(joined[s:e], seed) for s, e in zip(begin[at : at + _BLOCK], end[at : at + _BLOCK])]
-        hashes = np.array(part, dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(begin), bitorder="little").view("<u8")[0])
+    digest = xxhash.xxh64_intdigest
+    return majority(np.array([digest(joined[s:e], seed) for s, e in zip(begin[at : at + _BLOCK], end[at : at + _BLOCK])], dtype="<u8") for at in range(0, len(begin), _BLOCK))
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in blocks:
+        ones += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,15 +258,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(components(scratch, prints), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for text in batch["text"]:
+            hashes = shingle_hashes(text)
+            rows.append((set_print(np.unique(hashes)), int(np.uint64(majority(hashes[at : at + _BLOCK] for at in range(0, len(hashes), _BLOCK))).view(np.int64))))
+        yield batch.drop(columns="text").assign(fp=np.array([r[0] for r in rows], dtype=np.int64), sim=np.array([r[1] for r in rows], dtype=np.int64))
+
+
+def _copy_prints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, sim) of every row: the digest of its set of five-word shingles, and their SimHash."""
+    return texts_of(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInPandas(_copies, "doc_id long, fp long, sim long")
+
+
+def _sim_links(scratch: Scratch, docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Links (a, b) of fps: members of a component of SimHashes within TAU bits whose sets have a similarity of 4/5 with its head."""
+    nodes = scratch.cut(prints.groupBy("fp").agg(F.min("sim").alias("sim")), "simhash-sets")
+    joined = connected_components(scratch, near_links(scratch, nodes.select(F.col("sim").alias("fp")).distinct()))
+    placed = nodes.join(joined.withColumnRenamed("node", "sim"), "sim", "left").select("fp", F.coalesce("component", "sim").alias("component"))
+    placed = scratch.cut(placed, "simhash-placed", nodes.count())
+    heads = placed.groupBy("component").agg(F.min_by("fp", F.struct(F.xxhash64("fp"), F.col("fp"))).alias("head"))
+    pairs = placed.join(heads, "component").where("fp <> head").select(F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b"))
+    return scratch.cut(verified(scratch, docs, prints, scratch.cut(pairs, "simhash-pairs")), "simhash-verified")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the near-duplicates: of each component, the row with the smallest doc_id stays, all its columns with it.
+    """docs(doc_id, text, ..) without the near-duplicates: of each component, the row with the smallest doc_id stays, all its columns with it.
 
-    Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least, whatever their
-    SimHashes: at 0.8 those are some 10 of 64 bits apart, more than pigeonring filtering can search. Where that doc_id is repeated within the component, or null as all others there, one of its rows stays.
+    Near-duplicates are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least. SimHashes of these
+    shingles, by pigeonring filtering, give the close ones, which are verified. At 0.8 SimHashes are some 10 of 64 bits apart,
+    more than they can search, so what they leave is found by prefix filtering (shingle_sets), among texts not joined yet.
+    Null texts and texts without words are near-duplicates of each other. Where that doc_id is repeated within the component,
+    or null as all others there, one of its rows stays. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    prints = scratch.cut(set_prints(docs), "shingles-fps")
-    by_fp = components(scratch, prints, similar_links(scratch, docs, prints))
+    prints = scratch.cut(_copy_prints(docs), "shingles-fps")
+    by_fp = components(scratch, prints, similar_links(scratch, docs, prints, _sim_links(scratch, docs, prints)))
     leaders = prints.join(by_fp, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     led = leaders.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     led = scratch.cut(led, "simhash-leaders")
@@ -280,7 +313,7 @@ def _one_of_each(scratch: Scratch, docs: DataFrame, repeated: DataFrame, by_fp:
     row = "_slateworks_row"
     some = docs.join(repeated.select(F.col("doc_id").alias("_slateworks_id")), F.col("doc_id").eqNullSafe(F.col("_slateworks_id")), "left_semi")
     some = scratch.cut(some.withColumn(row, F.monotonically_increasing_id()), "simhash-some")
-    prints = set_prints(some.select(F.col(row).alias("doc_id"), "text")).withColumnRenamed("doc_id", row)
+    prints = _copy_prints(some.select(F.col(row).alias("doc_id"), "text")).withColumnRenamed("doc_id", row)
     own = some.select("doc_id", row).join(prints, row).join(by_fp, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = own.groupBy("component").agg(F.min(row).alias(row)).select(row)
     return some.join(first, row, "left_semi").select(*docs.columns)
