@@ -24,6 +24,8 @@ SAMPLE_ROWS, COMMON, COMMON_SHINGLES = 16_000, 4, 200_000
 #: Rounds in which a bucket's members meet one member only; what they link need not meet again.
 STARS = 2
 BLOCK = 500
+#: Size of the bitmaps by which pairs are compared before their sets are.
+BITS = 4096
 
 
 def shingle_hashes(text: bytes | None) -> np.ndarray:
@@ -47,18 +49,6 @@ def texts_of(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*columns, F.col("text").cast("string").cast("binary").alias("text"))
 
 
-def _prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        values = np.array([set_print(shingle_set(t)) for t in batch["text"]], dtype=np.int64)
-        yield batch.drop(columns="text").assign(fp=values)
-
-
-def set_prints(docs: DataFrame, id_type: str = "long") -> DataFrame:
-    """(doc_id, fp long) of every row: the digest of its shingle set."""
-    light = texts_of(docs.withColumn("doc_id", F.col("doc_id").cast(id_type)), "doc_id")
-    return light.mapInPandas(_prints, f"doc_id {id_type}, fp long")
-
-
 def _shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for t in batch["text"]:
@@ -129,10 +119,30 @@ def _candidates(rows: DataFrame, star: int | None) -> DataFrame:
     return met.where(f"x.component <> y.component AND {_MAY}").select(F.expr("least(x.fp, y.fp)").alias("a"), F.expr("greatest(x.fp, y.fp)").alias("b")).distinct()
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """BITS bits, of which the one that a shingle's hash names is set."""
+    bits = np.zeros(BITS, dtype=np.uint8)
+    bits[(shingles >> np.uint64(20)) % np.uint64(BITS)] = 1
+    return np.packbits(bits)
+
+
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         sets = [shingle_set(t) for t in batch["text"]]
-        yield pd.DataFrame({"fp": np.array([set_print(s) for s in sets], dtype=np.int64), "shingles": [s.tobytes() for s in sets]})
+        prints = np.array([set_print(s) for s in sets], dtype=np.int64)
+        yield pd.DataFrame({"fp": prints, "n": [len(s) for s in sets], "bits": [bitmap(s).tobytes() for s in sets], "shingles": [s.tobytes() for s in sets]})
+
+
+def _may_be_similar(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    """Without pairs whose bitmaps tell that too little is shared: a bit set on one side only stands for a shingle of that side only."""
+    of = {fp: (n, np.frombuffer(bits, dtype=np.uint8)) for fp, n, bits in zip(sets["fp"], sets["n"], sets["bits"])}
+
+    def may(a: int, b: int) -> bool:
+        (n, x), (m, y) = of[a], of[b]
+        shared = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+        return 9 * shared >= 4 * (n + m)
+
+    return pairs.loc[np.array([may(a, b) for a, b in zip(pairs["a"], pairs["b"])], dtype=bool), ["a", "b"]]
 
 
 def _similar(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
@@ -142,7 +152,7 @@ def _similar(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
 
 
 def verified(scratch: Scratch, docs: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose whole sets have a similarity of 4/5 at least.
+    """The pairs whose whole sets have a similarity of 4/5 at least: first by their bitmaps, what these leave by the sets.
 
     Sets are dealt to blocks of about BLOCK. The pairs of two blocks are compared together, so that a set is sent once for
     all its partners in a block.
@@ -150,18 +160,27 @@ def verified(scratch: Scratch, docs: DataFrame, prints: DataFrame, pairs: DataFr
     fps = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     ids = prints.join(fps, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
     texts = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    sets = scratch.cut(texts_of(texts).mapInPandas(_sets, "fp long, shingles binary").join(fps, "fp", "left_semi").dropDuplicates(["fp"]), "shingles-sets")
+    whole = texts_of(texts).mapInPandas(_sets, "fp long, n long, bits binary, shingles binary").join(fps, "fp", "left_semi")
+    sets = scratch.cut(whole.dropDuplicates(["fp"]), "shingles-sets")
     blocks = F.lit(sets.count() // BLOCK + 1)
     block = lambda c: F.pmod(F.xxhash64(c), blocks)
-    dealt = pairs.select(block("a").alias("i"), block("b").alias("j"), "a", "b")
-    asked = dealt.select(F.col("i").alias("k"), F.col("j").alias("l"), F.explode(F.array("a", "b")).alias("fp")).distinct().join(sets, "fp")
-    return dealt.groupBy("i", "j").cogroup(asked.groupBy("k", "l")).applyInPandas(_similar, "a long, b long")
+
+    def compared(some: DataFrame, how, *columns: str) -> DataFrame:
+        dealt = some.select(block("a").alias("i"), block("b").alias("j"), "a", "b")
+        asked = dealt.select(F.col("i").alias("k"), F.col("j").alias("l"), F.explode(F.array("a", "b")).alias("fp")).distinct().join(sets.select("fp", *columns), "fp")
+        return dealt.groupBy("i", "j").cogroup(asked.groupBy("k", "l")).applyInPandas(how, "a long, b long")
+
+    left = scratch.cut(compared(pairs, _may_be_similar, "n", "bits"), "shingles-left")
+    found = scratch.cut(compared(left, _similar, "shingles"), "shingles-links")
+    scratch.drop("shingles-left")
+    scratch.drop("shingles-sets")
+    return found
 
 
 def similar_links(scratch: Scratch, docs: DataFrame, prints: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Links (a, b) whose connected components are those of all pairs of different sets with similarity >= 4/5.
 
-    prints: set_prints of docs. Every pair that shares a bucket and may be similar is compared, unless links found before,
+    prints: (doc_id, fp) of docs, fp the set_print of a text. Every pair that shares a bucket and may be similar is compared, unless links found before,
     known ones to begin with, join the two already.
     """
     spread = texts_of(docs).mapInPandas(_prefixes(*_common(docs, prints.count())), "shingle long, fp long, n int, place int")
@@ -177,6 +196,7 @@ def similar_links(scratch: Scratch, docs: DataFrame, prints: DataFrame, known: D
     links = known
     for step in (*range(STARS), None):
         pairs = scratch.cut(_candidates(with_components(links), step), "shingles-pairs")
-        found = scratch.cut(verified(scratch, docs, prints, pairs), "shingles-links")
+        found = verified(scratch, docs, prints, pairs)
+        scratch.drop("shingles-pairs")
         links = found if links is None else links.union(found)
     return links

@@ -280,7 +280,7 @@ def _sim_links(scratch: Scratch, docs: DataFrame, prints: DataFrame) -> DataFram
     placed = scratch.cut(placed, "simhash-placed", nodes.count())
     heads = placed.groupBy("component").agg(F.min_by("fp", F.struct(F.xxhash64("fp"), F.col("fp"))).alias("head"))
     pairs = placed.join(heads, "component").where("fp <> head").select(F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b"))
-    return scratch.cut(verified(scratch, docs, prints, scratch.cut(pairs, "simhash-pairs")), "simhash-verified")
+    return verified(scratch, docs, prints, scratch.cut(pairs, "simhash-pairs"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -103,8 +103,8 @@ def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             shingles = {zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))}
             # Two minima: a passage that texts share does not make them copies.
             copy = min(shingles) << 31 ^ min(h * 0x9E3779B1 & 0x7FFFFFFF for h in shingles)
-            rows.append((int(doc), int(label), copy, sorted(set(words)), sorted({f"{a} {b}" for a, b in zip(words, words[1:])})))
-        yield pd.DataFrame(rows, columns=["doc_id", "label", "copy", "words", "pairs"])
+            rows.append((int(doc), int(label), copy, words))
+        yield pd.DataFrame(rows, columns=["doc_id", "label", "copy", "words"])
 
 
 def _loss(w: np.ndarray, b: float, rows: tuple, y: np.ndarray, plus: tuple, minus: tuple, m: int, counterfactual: float) -> tuple[float, np.ndarray, float]:
@@ -157,8 +157,13 @@ def _found(sample: DataFrame, scored: DataFrame) -> dict[str, str]:
     terms = spread.where(F.col("z") >= MIN_Z).orderBy(F.desc("df"), "feature").limit(MAX_TERMS)
     neutral = spread.where(F.abs("z") <= NEUTRAL_Z).orderBy(F.desc("df"), "feature").limit(MAX_TERMS)
     seen = {r["feature"]: (r["df"], r["z"] >= MIN_Z) for r in terms.union(neutral).select("feature", "df", "z").collect()}
-    before = sample.select(F.explode("pairs").alias("pair")).select(F.substring_index("pair", " ", 1).alias("slot"), F.substring_index("pair", " ", -1).alias("feature"))
-    counts = before.where(F.col("feature").isin(list(seen))).groupBy("feature", "slot").agg(F.count(F.lit(1)).alias("n"))
+
+    def slotted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(b, a) for words in batch["words"] for a, b in {(a, b) for a, b in zip(words, words[1:]) if b in seen}]
+            yield pd.DataFrame(rows, columns=["feature", "slot"])
+
+    counts = sample.select("words").mapInPandas(slotted, "feature string, slot string").groupBy("feature", "slot").agg(F.count(F.lit(1)).alias("n"))
     slots = {r["feature"]: r["slot"] for r in counts.groupBy("feature").agg(F.min_by("slot", F.struct(-F.col("n"), F.col("slot"))).alias("slot")).collect()} if seen else {}
     out = {}
     for word, (df, term) in seen.items():
@@ -184,8 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, co
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # At most sample_rows rows of two numbers are broadcast.
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    drawn = joined.mapInPandas(_sampled, "doc_id long, label int, copy long, words array<string>, pairs array<string>")
-    once = drawn.groupBy("copy", "label").agg(F.min_by(F.struct("words", "pairs"), F.struct("doc_id", "words", "pairs")).alias("s")).select("label", "s.*")
+    drawn = joined.mapInPandas(_sampled, "doc_id long, label int, copy long, words array<string>")
+    once = drawn.groupBy("copy", "label").agg(F.min_by("words", F.struct("doc_id", "words")).alias("words")).select("label", "words")
     sample = scratch.cut(once, "toxicity-sample")
     counts = sample.groupBy().agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).first()
     n, pos = counts["n"], counts["pos"] or 0
@@ -209,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, co
     def needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keep = set(vocabulary)
         for batch in batches:
-            words = [[w for w in ws if w in keep or any(w[:k] in starts for k in PREFIXES)] for ws in batch["words"]]
+            words = [[w for w in set(ws) if w in keep or any(w[:k] in starts for k in PREFIXES)] for ws in batch["words"]]
             yield pd.DataFrame({"label": batch["label"], "words": words})
 
     rows = [(r["label"], set(r["words"])) for r in sample.select("label", "words").mapInPandas(needed, "label int, words array<string>").collect()]
