@@ -8,6 +8,7 @@ and places bound the overlap; what may reach 4/5 is compared as whole sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,9 +24,12 @@ SHINGLE, SEED = 5, 43
 SAMPLE_ROWS, COMMON, COMMON_SHINGLES = 16_000, 4, 200_000
 #: Rounds in which a bucket's members meet one member only; what they link need not meet again.
 STARS = 2
-BLOCK = 500
+#: Sets of a block, bitmaps of a block, and pairs compared together.
+BLOCK, BITMAPS, PAIRS_AT_ONCE = 500, 20_000, 200
 #: Size of the bitmaps by which pairs are compared before their sets are.
-BITS = 4096
+BITS = 2048
+#: Numbers up to which a table of them is broadcast.
+FEW = 100_000
 
 
 def shingle_hashes(text: bytes | None) -> np.ndarray:
@@ -129,8 +133,7 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         sets = [shingle_set(t) for t in batch["text"]]
-        prints = np.array([set_print(s) for s in sets], dtype=np.int64)
-        yield pd.DataFrame({"fp": prints, "n": [len(s) for s in sets], "bits": [bitmap(s).tobytes() for s in sets], "shingles": [s.tobytes() for s in sets]})
+        yield pd.DataFrame({"fp": np.array([set_print(s) for s in sets], dtype=np.int64), "shingles": [s.tobytes() for s in sets]})
 
 
 def _may_be_similar(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
@@ -151,39 +154,44 @@ def _similar(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
     return pairs.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
 
-def verified(scratch: Scratch, docs: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, most: int, how) -> DataFrame:
+    """Pairs (a, b) that how keeps. Sets are dealt to blocks of about most at most, and the pairs of two blocks, some
+    PAIRS_AT_ONCE, are compared together, so that a set is sent once for all its partners in a block."""
+    n = pairs.count()
+    blocks = max(2 * n // most, math.isqrt(n // PAIRS_AT_ONCE)) + 1
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    dealt = pairs.select(block("a").alias("i"), block("b").alias("j"), "a", "b")
+    asked = dealt.select(F.col("i").alias("k"), F.col("j").alias("l"), F.explode(F.array("a", "b")).alias("fp")).distinct().join(sets, "fp")
+    return dealt.groupBy("i", "j").cogroup(asked.groupBy("k", "l")).applyInPandas(how, "a long, b long")
+
+
+def verified(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose whole sets have a similarity of 4/5 at least: first by their bitmaps, what these leave by the sets.
 
-    Sets are dealt to blocks of about BLOCK. The pairs of two blocks are compared together, so that a set is sent once for
-    all its partners in a block.
+    nodes: (fp, id, n, bits) of every set: a doc_id that has it, its size and its bitmap. Only texts of pairs left are read
+    again.
     """
-    fps = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    ids = prints.join(fps, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    texts = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    whole = texts_of(texts).mapInPandas(_sets, "fp long, n long, bits binary, shingles binary").join(fps, "fp", "left_semi")
-    sets = scratch.cut(whole.dropDuplicates(["fp"]), "shingles-sets")
-    blocks = F.lit(sets.count() // BLOCK + 1)
-    block = lambda c: F.pmod(F.xxhash64(c), blocks)
-
-    def compared(some: DataFrame, how, *columns: str) -> DataFrame:
-        dealt = some.select(block("a").alias("i"), block("b").alias("j"), "a", "b")
-        asked = dealt.select(F.col("i").alias("k"), F.col("j").alias("l"), F.explode(F.array("a", "b")).alias("fp")).distinct().join(sets.select("fp", *columns), "fp")
-        return dealt.groupBy("i", "j").cogroup(asked.groupBy("k", "l")).applyInPandas(how, "a long, b long")
-
-    left = scratch.cut(compared(pairs, _may_be_similar, "n", "bits"), "shingles-left")
-    found = scratch.cut(compared(left, _similar, "shingles"), "shingles-links")
-    scratch.drop("shingles-left")
-    scratch.drop("shingles-sets")
+    left = scratch.cut(_compared(pairs, nodes.select("fp", "n", "bits"), BITMAPS, _may_be_similar), "shingles-left")
+    fps = scratch.cut(left.select(F.col("a").alias("fp")).union(left.select("b")).distinct(), "shingles-asked")
+    n = fps.count()
+    ids = nodes.select("fp", "id").join(fps, "fp", "left_semi").select("id").distinct()
+    # Few numbers spare the texts a shuffle; many take one.
+    texts = docs.join(F.broadcast(ids) if n <= FEW else ids, F.col("doc_id").cast("long").eqNullSafe(F.col("id")), "left_semi")
+    sets = texts_of(texts).mapInPandas(_sets, "fp long, shingles binary").join(F.broadcast(fps) if n <= FEW else fps, "fp", "left_semi")
+    sets = scratch.cut(sets.dropDuplicates(["fp"]), "shingles-sets")
+    found = scratch.cut(_compared(left, sets, BLOCK, _similar), "shingles-links")
+    for name in ("shingles-left", "shingles-asked", "shingles-sets"):
+        scratch.drop(name)
     return found
 
 
-def similar_links(scratch: Scratch, docs: DataFrame, prints: DataFrame, known: DataFrame | None = None) -> DataFrame:
+def similar_links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Links (a, b) whose connected components are those of all pairs of different sets with similarity >= 4/5.
 
-    prints: (doc_id, fp) of docs, fp the set_print of a text. Every pair that shares a bucket and may be similar is compared, unless links found before,
+    nodes: see verified. Every pair that shares a bucket and may be similar is compared, unless links found before,
     known ones to begin with, join the two already.
     """
-    spread = texts_of(docs).mapInPandas(_prefixes(*_common(docs, prints.count())), "shingle long, fp long, n int, place int")
+    spread = texts_of(docs).mapInPandas(_prefixes(*_common(docs, docs.count())), "shingle long, fp long, n int, place int")
     shared = scratch.cut(spread.repartition("shingle").sortWithinPartitions("shingle", "fp").mapInPandas(_shared, spread.schema), "shingles-shared")
     scratch.collect_shuffles()
 
@@ -196,7 +204,7 @@ def similar_links(scratch: Scratch, docs: DataFrame, prints: DataFrame, known: D
     links = known
     for step in (*range(STARS), None):
         pairs = scratch.cut(_candidates(with_components(links), step), "shingles-pairs")
-        found = verified(scratch, docs, prints, pairs)
+        found = verified(scratch, docs, nodes, pairs)
         scratch.drop("shingles-pairs")
         links = found if links is None else links.union(found)
     return links

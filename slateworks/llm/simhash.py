@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slateworks.llm._common import Scratch, connected_components
-from slateworks.llm.shingle_sets import set_print, shingle_hashes, similar_links, texts_of, verified
+from slateworks.llm.shingle_sets import bitmap, set_print, shingle_hashes, similar_links, texts_of, verified
 
 TAU, SEGMENTS, SHINGLE, SEED = 4, 5, 4, 42
 #: Buckets beyond this go the other exact way, by keys of radius TAU / 2, so that a task's memory stays bounded.
@@ -263,24 +263,26 @@ def _copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for text in batch["text"]:
             hashes = shingle_hashes(text)
-            rows.append((set_print(np.unique(hashes)), int(np.uint64(majority(hashes[at : at + _BLOCK] for at in range(0, len(hashes), _BLOCK))).view(np.int64))))
-        yield batch.drop(columns="text").assign(fp=np.array([r[0] for r in rows], dtype=np.int64), sim=np.array([r[1] for r in rows], dtype=np.int64))
+            own = np.unique(hashes)
+            sim = np.uint64(majority(hashes[at : at + _BLOCK] for at in range(0, len(hashes), _BLOCK)))
+            rows.append((set_print(own), int(sim.view(np.int64)), len(own), bitmap(own).tobytes()))
+        columns = {c: [r[i] for r in rows] for i, c in enumerate(("fp", "sim", "n", "bits"))}
+        yield batch.drop(columns="text").assign(**columns)
 
 
 def _copy_prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, sim) of every row: the digest of its set of five-word shingles, and their SimHash."""
-    return texts_of(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInPandas(_copies, "doc_id long, fp long, sim long")
+    """(doc_id, fp, sim, n, bits) of every row: the digest of its set of five-word shingles, their SimHash, number and bitmap."""
+    return texts_of(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id").mapInPandas(_copies, "doc_id long, fp long, sim long, n long, bits binary")
 
 
-def _sim_links(scratch: Scratch, docs: DataFrame, prints: DataFrame) -> DataFrame:
+def _sim_links(scratch: Scratch, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (a, b) of fps: members of a component of SimHashes within TAU bits whose sets have a similarity of 4/5 with its head."""
-    nodes = scratch.cut(prints.groupBy("fp").agg(F.min("sim").alias("sim")), "simhash-sets")
     joined = connected_components(scratch, near_links(scratch, nodes.select(F.col("sim").alias("fp")).distinct()))
-    placed = nodes.join(joined.withColumnRenamed("node", "sim"), "sim", "left").select("fp", F.coalesce("component", "sim").alias("component"))
+    placed = nodes.select("fp", "sim").join(joined.withColumnRenamed("node", "sim"), "sim", "left").select("fp", F.coalesce("component", "sim").alias("component"))
     placed = scratch.cut(placed, "simhash-placed", nodes.count())
     heads = placed.groupBy("component").agg(F.min_by("fp", F.struct(F.xxhash64("fp"), F.col("fp"))).alias("head"))
     pairs = placed.join(heads, "component").where("fp <> head").select(F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b"))
-    return verified(scratch, docs, prints, scratch.cut(pairs, "simhash-pairs"))
+    return verified(scratch, docs, nodes, scratch.cut(pairs, "simhash-pairs"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -294,7 +296,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     prints = scratch.cut(_copy_prints(docs), "shingles-fps")
-    by_fp = components(scratch, prints, similar_links(scratch, docs, prints, _sim_links(scratch, docs, prints)))
+    sets = prints.groupBy("fp").agg(F.min("doc_id").alias("id"), F.min("sim").alias("sim"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    sets = scratch.cut(sets, "simhash-sets")
+    by_fp = components(scratch, prints, similar_links(scratch, docs, sets, _sim_links(scratch, docs, sets)))
     leaders = prints.join(by_fp, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     led = leaders.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     led = scratch.cut(led, "simhash-leaders")
