@@ -26,8 +26,6 @@ SAMPLE_ROWS, COMMON, COMMON_SHINGLES = 16_000, 4, 200_000
 STARS = 2
 #: Sets of a block, bitmaps of a block, and pairs compared together.
 BLOCK, BITMAPS, PAIRS_AT_ONCE = 500, 20_000, 200
-#: Size of the bitmaps by which pairs are compared before their sets are.
-BITS = 2048
 #: Numbers up to which a table of them is broadcast.
 FEW = 100_000
 
@@ -124,12 +122,24 @@ def _candidates(rows: DataFrame, star: int | None) -> DataFrame:
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """BITS bits, of which the one that a shingle's hash names is set."""
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[(shingles >> np.uint64(20)) % np.uint64(BITS)] = 1
+    """Bits, a power of two of at least twice as many as there are shingles, of which those that the hashes name are set."""
+    size = 1 << max(6, (2 * len(shingles) - 1).bit_length())
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(shingles >> np.uint64(20)) % np.uint64(size)] = 1
     return np.packbits(bits)
 
 
+def most_shared(n: int, x: np.ndarray, m: int, y: np.ndarray) -> int:
+    """The most that sets of n and m with bitmaps x and y can share: a bit set on one side only stands for a shingle of that side only."""
+    while len(x) != len(y):
+        # The longer one as it were with half as many bits.
+        if len(x) > len(y):
+            x = x[: len(x) // 2] | x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+
+
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         sets = [shingle_set(t) for t in batch["text"]]
@@ -137,15 +147,10 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _may_be_similar(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-    """Without pairs whose bitmaps tell that too little is shared: a bit set on one side only stands for a shingle of that side only."""
+    """Without pairs whose bitmaps tell that too little is shared."""
     of = {fp: (n, np.frombuffer(bits, dtype=np.uint8)) for fp, n, bits in zip(sets["fp"], sets["n"], sets["bits"])}
-
-    def may(a: int, b: int) -> bool:
-        (n, x), (m, y) = of[a], of[b]
-        shared = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
-        return 9 * shared >= 4 * (n + m)
-
-    return pairs.loc[np.array([may(a, b) for a, b in zip(pairs["a"], pairs["b"])], dtype=bool), ["a", "b"]]
+    may = [9 * most_shared(*of[a], *of[b]) >= 4 * (of[a][0] + of[b][0]) for a, b in zip(pairs["a"], pairs["b"])]
+    return pairs.loc[np.array(may, dtype=bool), ["a", "b"]]
 
 
 def _similar(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:

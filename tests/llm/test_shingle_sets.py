@@ -66,3 +66,12 @@ def test_similar_sets_share_a_prefix_in_any_order():
         if 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)):
             firsts = [shingle_sets.prefix(s, common, np.arange(len(common), 0, -1)) for s in (x, y)]
             assert len(np.intersect1d(*firsts))
+
+
+def test_bitmaps_never_tell_too_little():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 2**63, rng.integers(0, 400), dtype=np.uint64))
+        y = np.unique(np.concatenate((x[rng.random(len(x)) < rng.random()], rng.integers(0, 2**63, rng.integers(0, 300), dtype=np.uint64))))
+        bound = shingle_sets.most_shared(len(x), shingle_sets.bitmap(x), len(y), shingle_sets.bitmap(y))
+        assert len(np.intersect1d(x, y)) <= bound <= min(len(x), len(y))
