@@ -71,3 +71,14 @@ def groups_per_policy(df: DataFrame, total: int, n_policies: int, policy: str, *
     """Rows of max(1, total // n_policies) groups of each policy, in the order of the group's columns."""
     ranked = df.select(policy, *group).distinct().withColumn("_at", F.row_number().over(Window.partitionBy(policy).orderBy(*group)))
     return df.join(ranked.where(F.col("_at") <= max(1, total // n_policies)).drop("_at"), [policy, *group], "left_semi")
+
+
+def head_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in an order: a smoke run's cap."""
+    return df.orderBy(*order).limit(n)
+
+
+def nullable_prediction(df: DataFrame, threshold: float | None, score: str = "score") -> DataFrame:
+    """df with prediction: score >= threshold, null where there is no score; a null threshold predicts nothing."""
+    yes = F.lit(False) if threshold is None else F.col(score) >= threshold
+    return df.withColumn("prediction", F.when(F.col(score).isNotNull(), yes.cast("int")))

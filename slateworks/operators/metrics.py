@@ -201,3 +201,8 @@ def spearman_p(rho: float, n: int) -> float:
     h = (math.pi / 2 - top) / steps
     tail = h / 3 * sum((1 if i in (0, steps) else 4 if i % 2 else 2) * f(top + i * h) for i in range(steps + 1))
     return 2 * tail * math.exp(math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2)) / math.sqrt(math.pi)
+
+
+def by_utility(table: DataFrame, policy: str, utility: str, position: str) -> list:
+    """The policies by utility, best first; those with the same utility stay in the order of position. A row for each policy."""
+    return [r[policy] for r in table.orderBy(F.desc(utility), position).select(policy).collect()]

@@ -50,27 +50,35 @@ def prompts(candidates: DataFrame, history: DataFrame, describe: Column, *group:
     return asked.join(past, "user_id", "left").select(*group, text.alias("prompt"))
 
 
-def ask(requests: DataFrame, client: Callable[[], Callable[[str], str]], accept: Callable[[str], bool], attempts: int = MAX_ATTEMPTS) -> DataFrame:
+def ask(requests: DataFrame, client: Callable[[], Callable[[str], str]], accept: Callable[..., bool], attempts: int = MAX_ATTEMPTS, share: float | None = None) -> DataFrame:
     """requests(prompt, ..) with answer, tries and error. client makes, in each task, a function from prompt to answer.
 
     An answer that accept turns down, or an exception, is tried again; after the last try answer is null and error tells why.
+    accept gets the answer, and n of the request where there is one. With a share, a task of which more than that share of
+    answers failed asks no further: its other requests fail without a try.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        call = client()
+        call, budget, spent = client(), ErrorBudget(share if share is not None else 1.0), None
         for batch in batches:
             rows = []
-            for prompt in batch["prompt"]:
-                answer, error, tries = None, None, 0
-                while answer is None and tries < attempts:
+            sizes = [(int(n),) for n in batch["n"]] if "n" in batch else [()] * len(batch)
+            for prompt, n in zip(batch["prompt"], sizes):
+                answer, error, tries = None, spent, 0
+                while spent is None and answer is None and tries < attempts:
                     tries += 1
                     try:
                         given = call(prompt)
-                        answer, error = (given, None) if accept(given) else (None, "not accepted: " + given[:200])
+                        answer, error = (given, None) if accept(given, *n) else (None, "not accepted: " + given[:200])
                     except Exception as failure:  # noqa: BLE001 - whatever the endpoint raises is a failed attempt
                         error = f"{type(failure).__name__}: {failure}"
                 rows.append((answer, tries, error))
+                if spent is None:
+                    try:
+                        budget.record(answer is None)
+                    except BudgetExceeded as failure:
+                        spent = f"not asked: {failure}"
             yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(rows, columns=["answer", "tries", "error"])], axis=1)
 
     return requests.mapInPandas(run, f"{fields}, answer string, tries int, error string")
@@ -147,7 +155,7 @@ def parse_taste(answer: Column) -> Column:
 
 def batch_signatures(rows: DataFrame, order: str, ordered: bool, *group: str) -> DataFrame:
     """(group, signature, first): groups whose items are the same, in order or as a multiset, share a signature; first asks."""
-    items = F.transform(F.sort_array(F.collect_list(F.struct(order, "item_id"))), lambda x: x["item_id"])
+    items = F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_order"), "item_id"))), lambda x: x["item_id"])
     signed = rows.groupBy(*group).agg(F.concat_ws("|", items if ordered else F.sort_array(items)).alias("signature"))
     at = F.row_number().over(Window.partitionBy("user_id", "signature").orderBy(*group))
     return signed.withColumn("first", at == 1)

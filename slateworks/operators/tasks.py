@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field, is_dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, fields, is_dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,11 +47,17 @@ class Task:
         return part.drop(self.target), part.select(self.target)
 
 
-def described(part) -> dict:
-    """Class and parameters of a component, for a manifest."""
-    if is_dataclass(part):
-        return {"class": type(part).__name__, "params": asdict(part)}
-    return {"class": getattr(part, "__name__", type(part).__name__), "params": {}}
+def described(part):
+    """A component as values for a manifest: class and parameters, those that are components themselves too."""
+    if is_dataclass(part) and not isinstance(part, type):
+        return {"class": type(part).__name__, "params": {f.name: described(getattr(part, f.name)) for f in fields(part)}}
+    if isinstance(part, dict):
+        return {k: described(v) for k, v in part.items()}
+    if isinstance(part, (list, tuple)):
+        return [described(v) for v in part]
+    if part is None or isinstance(part, (str, int, float, bool)):
+        return part
+    return {"class": getattr(part, "__name__", type(part).__name__), "params": {k: described(v) for k, v in vars(part).items()} if hasattr(part, "__dict__") and not callable(part) else {}}
 
 
 def item_statistics(train: DataFrame, rating: str = "rating") -> DataFrame:
@@ -149,3 +156,28 @@ def policy_ranking(users: DataFrame, items: DataFrame, interactions: DataFrame,
 def popularity_scored(task: Task, names: tuple[str, ...] = ("val", "test")) -> DataFrame:
     """Held-out rows with the popularity of their item in training."""
     return scorers.score_popularity(task.split("train"), task.rows.where(F.col("split").isin(*names)))
+
+
+#: Negatives for a positive, of each kind of task that has groups, with the most rows of a user's group.
+GRIDS = {"interaction": ((1, 2, 3, 9, 19), 20), "preference": ((1, 2, 3, 9), 10), "cold_start": ((1, 2, 3, 9, 19), 20)}
+
+
+def registered(kind: str, seeds: tuple[int, ...] = (0,), sizes: tuple[int, ...] = (5,)) -> dict[str, tuple]:
+    """Name -> (builder, config) of every task of a kind: for each m of its grid, each seed, and each k of cold start."""
+    if kind == "regression":
+        return {f"regression_seed{seed}": (regression, TaskConfig(seed=seed)) for seed in seeds}
+    builder = {"interaction": alignment, "preference": preference, "cold_start": cold_start}[kind]
+    ms, cap = GRIDS[kind]
+    ks = sizes if kind == "cold_start" else (TaskConfig.k,)
+    part = lambda k: f"_k{k}" if kind == "cold_start" else ""
+    return {f"{kind}{part(k)}_m{m}_seed{seed}": (builder, TaskConfig(m=m, total=max(m + 1, cap), k=k, seed=seed)) for m in ms for k in ks for seed in seeds}
+
+
+def grid(tasks: dict[str, tuple], methods: dict[str, Callable[[Task], object]], users: DataFrame, items: DataFrame, interactions: DataFrame, done: frozenset = frozenset()) -> Iterator[tuple[str, str, object]]:
+    """(task, method, result) of each task with each method, but for pairs in done, which an earlier run finished."""
+    for name, (builder, config) in tasks.items():
+        left = [m for m in methods if (name, m) not in done]
+        if left:
+            task = builder(users, items, interactions, config)
+            for method in left:
+                yield name, method, methods[method](task)

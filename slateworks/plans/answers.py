@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slateworks.functions.text import intensity_bucket
-from slateworks.operators import profiles, responses, splits
+from slateworks.operators import profiles, responses, splits, text_scorers
 from slateworks.plans import shared, sql
 from slateworks.plans.measures import _rounded
 from slateworks.plans.registry import query
@@ -134,3 +134,92 @@ def profile_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = third.select("id", F.lit("old").alias("value"), F.lit(1).alias("line")).union(third.select("id", F.lit("new"), F.lit(2)))
     hits, misses = profiles.cached(requests, cache, "id")
     return hits.select("id", "value").union(misses.select("id", F.lit("miss")))
+
+
+_DIGIT = "CAST('0x' || substr(md5(item_id), 1, 1) AS INTEGER)"
+_ANSWERED = {
+    "yes_no": f"{_TEST} SELECT user_id, grp, item_id, CAST({_DIGIT} % 2 AS DOUBLE) AS score FROM t",
+    "listwise": f"{_TEST} SELECT user_id, grp, item_id, CAST(count(*) OVER (PARTITION BY grp) - row_number() OVER (PARTITION BY grp ORDER BY md5(item_id)) AS DOUBLE) AS score FROM t",
+    "rating": f"{_TEST} SELECT user_id, grp, item_id, CAST({_DIGIT} % 5 + 1 AS DOUBLE) AS score FROM t",
+}
+
+
+def _text_scored(spark: SparkSession, sf_dir: str, runs: int = 1, **form) -> DataFrame:
+    """The test candidates scored by the stub in one of the forms."""
+    scorer = text_scorers.TextScorer(**form)
+    test = shared.scored(spark, sf_dir).where("split = 'test'").select("user_id", "grp", "item_id")
+    if scorer.profile:
+        users = test.select("user_id").distinct()
+        tastes, _ = profiles.generated_tastes(users.select("user_id", F.lit("What is this person's taste?").alias("prompt")), users.limit(0).select("user_id", F.lit("").alias("value"), F.lit(0).alias("line")), taste_client(), "user_id")
+        known = text_scorers.profile_text(profiles.traits(_with_genres(spark, sf_dir)).join(tastes, "user_id"))
+    else:
+        from slateworks.operators.scorers import history
+
+        past = history(splits.temporal_position(shared.split(spark, sf_dir).where("split = 'train'")), 10)
+        listed = past.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("position", "item_id"))).alias("h"))
+        known = listed.select("user_id", F.array_join(F.transform("h", lambda x: x["item_id"]), "\n").alias("past"))
+    out = text_scorers.score(scorer, test, known, text_scorers.line_client(scorer), runs)
+    return out.select("user_id", "grp", "item_id", "score")
+
+
+def taste_client():
+    def make():
+        return lambda prompt: "TASTE: I like what lasts\nREASON: a stub says so\nHIGH: old\nLOW: new"
+
+    return make
+
+
+@query(_ANSWERED["yes_no"])
+def text_yes_no(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_scored(spark, sf_dir)
+
+
+@query(_ANSWERED["yes_no"])
+def text_yes_no_itemwise_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of user and item asked once in each of three runs; the votes' majority goes back to all rows."""
+    return _text_scored(spark, sf_dir, 3, itemwise=True)
+
+
+@query(_ANSWERED["yes_no"])
+def text_preference_yes_no(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_scored(spark, sf_dir, target="preference")
+
+
+@query(_ANSWERED["listwise"])
+def text_listwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_scored(spark, sf_dir, kind="listwise")
+
+
+@query(_ANSWERED["listwise"])
+def text_preference_listwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_scored(spark, sf_dir, kind="listwise", target="preference")
+
+
+@query(_ANSWERED["rating"])
+def text_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_scored(spark, sf_dir, kind="rating")
+
+
+@query(_ANSWERED["yes_no"])
+def profile_yes_no(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_scored(spark, sf_dir, profile=True, itemwise=True)
+
+
+@query(_ANSWERED["yes_no"])
+def profile_preference_yes_no(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_scored(spark, sf_dir, profile=True, target="preference")
+
+
+@query(_ANSWERED["listwise"])
+def profile_listwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_scored(spark, sf_dir, profile=True, kind="listwise")
+
+
+@query(_ANSWERED["listwise"])
+def profile_preference_listwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_scored(spark, sf_dir, profile=True, kind="listwise", target="preference")
+
+
+@query(_ANSWERED["rating"])
+def profile_regressor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_scored(spark, sf_dir, profile=True, kind="rating")

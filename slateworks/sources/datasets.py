@@ -111,3 +111,31 @@ def run_metrics(spark: SparkSession, root: str, latest_only: bool = False) -> Da
         return out
     best = out.groupBy("task", "method").agg(F.max_by(F.struct("path", "run", "stamp", "metrics"), F.struct("stamp", "run")).alias("b"))
     return best.select("b.path", "b.run", "b.stamp", "task", "method", "b.metrics")
+
+
+def write_report(table: DataFrame, path: str, order: list[str], markdown: bool = False) -> None:
+    """A table as CSV parts with a header, in order; or, for a report of a few rows, as one markdown file."""
+    if not markdown:
+        table.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+        return
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|")
+    lines = ["| " + " | ".join(cells) + " |" for cells in (table.columns, ["---"] * len(table.columns), *([cell(v) for v in r] for r in table.orderBy(*order).collect()))]
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text("\n".join(lines) + "\n")
+
+
+def enrichment_manifest(manifest: dict, item_columns: list[str], section: str, column: str, task_column: str) -> dict | None:
+    """What a task's manifest says of an enrichment of items: None where the canonical manifest has no such section.
+
+    ValueError if it is on with another column, with one the items lack, or without the sha256 of its source.
+    """
+    told = (manifest.get("item_enrichment") or {}).get(section)
+    if not isinstance(told, dict):
+        return None
+    if not told.get("enabled"):
+        return {section: {"enabled": False}}
+    sha = (told.get("source") or {}).get("sha256")
+    for wrong, why in ((told.get("column") != column, "is of an unknown column"), (column not in item_columns, "is missing from the items"), (not isinstance(sha, str) or not sha, "has no fingerprint of its source")):
+        if wrong:
+            raise ValueError(f"{section} {why}: {told.get('column')!r}")
+    return {section: {"enabled": True, "canonical_column": column, "task_column": task_column, "source_sha256": sha}}
