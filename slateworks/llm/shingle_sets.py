@@ -26,6 +26,8 @@ SAMPLE_ROWS, COMMON, COMMON_SHINGLES = 16_000, 4, 200_000
 STARS = 2
 #: Sets of a block, bitmaps of a block, and pairs compared together.
 BLOCK, BITMAPS, PAIRS_AT_ONCE = 500, 20_000, 200
+#: Rows of a bucket that meet in one task at once.
+MEET = 2048
 #: Numbers up to which a table of them is broadcast.
 FEW = 100_000
 
@@ -110,20 +112,64 @@ def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _MAY = "9 * (least(x.place, y.place) + 1 + least(x.n - x.place - 1, y.n - y.place - 1)) >= 4 * (x.n + y.n)"
 
 
-def _candidates(rows: DataFrame, star: int | None) -> DataFrame:
-    """Pairs (a, b) of fps in a bucket of different components, rows(shingle, fp, n, place, component): with one member a bucket, or all."""
+def _star(rows: DataFrame, star: int) -> DataFrame:
+    """Pairs (a, b) of fps of different components that share a bucket, of which b or a is the bucket's head in this round."""
     x = rows.alias("x")
-    if star is None:
-        met = x.join(rows.alias("y"), F.expr("x.shingle = y.shingle AND x.fp < y.fp"))
-    else:
-        head = F.min(F.struct(F.xxhash64("fp", F.lit(star)).alias("h"), "fp", "n", "place", "component")).alias("head")
-        met = x.join(rows.groupBy("shingle").agg(head).select("shingle", "head.*").alias("y"), F.expr("x.shingle = y.shingle"))
+    head = F.min(F.struct(F.xxhash64("fp", F.lit(star)).alias("h"), "fp", "n", "place", "component")).alias("head")
+    met = x.join(rows.groupBy("shingle").agg(head).select("shingle", "head.*").alias("y"), F.expr("x.shingle = y.shingle"))
     return met.where(f"x.component <> y.component AND {_MAY}").select(F.expr("least(x.fp, y.fp)").alias("a"), F.expr("greatest(x.fp, y.fp)").alias("b")).distinct()
 
 
+def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by shingle and pair of blocks -> pairs (a, b) of each that may be similar, by places, sizes and bitmaps."""
+    rest = None
+
+    def pairs(part: pd.DataFrame) -> list[tuple[int, int]]:
+        fp, n, place, component, side = (part[c].to_numpy(dtype=np.int64) for c in ("fp", "n", "place", "component", "side"))
+        bits, out = [np.frombuffer(b, dtype=np.uint8) for b in part["bits"]], []
+        for i in np.flatnonzero(side & 1).tolist():
+            most = np.minimum(place[i], place) + 1 + np.minimum(n[i] - place[i] - 1, n - place - 1)
+            # Within one block each pair shows twice; keep it once.
+            may = (side & 2 > 0) & (component != component[i]) & (9 * most >= 4 * (n[i] + n)) & ((side != 3) | (fp > fp[i]))
+            for j in np.flatnonzero(may).tolist():
+                if 9 * most_shared(int(n[i]), bits[i], int(n[j]), bits[j]) >= 4 * (n[i] + n[j]):
+                    out.append((int(min(fp[i], fp[j])), int(max(fp[i], fp[j]))))
+        return out
+
+    def table(found: set[tuple[int, int]]) -> pd.DataFrame:
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+    for batch in batches:
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        key = rows[["shingle", "meet"]].to_numpy()
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        if not len(cuts):
+            rest = rows
+            continue
+        starts = [0, *cuts.tolist()]
+        rest = rows.iloc[starts[-1] :]
+        yield table({p for x, y in zip(starts, starts[1:]) if y - x > 1 for p in pairs(rows.iloc[x:y])})
+    if rest is not None and len(rest) > 1:
+        yield table(set(pairs(rest)))
+
+
+def _all(scratch: Scratch, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of fps of different components that share a bucket and may be similar: every pair of a bucket meets, and
+    only those leave the task. Buckets beyond MEET rows are cut, and each pair of their blocks meets on its own."""
+    crowd = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    hits = rows.join(crowd.select("shingle", F.ceil(F.col("rows") / MEET).cast("long").alias("blocks")), "shingle")
+    hits = hits.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # Bit 1: a row of the first block, bit 2: of the second; a block with itself has both.
+    side = F.when(F.col("own") == F.col("with"), 3).when(F.col("own") < F.col("with"), 1).otherwise(2)
+    meet = F.least("own", "with") * F.col("blocks") + F.greatest("own", "with")
+    told = hits.select("shingle", meet.alias("meet"), side.alias("side"), "fp", "place", "component").join(nodes.select("fp", "n", "bits"), "fp")
+    dealt = told.repartition("shingle", "meet").sortWithinPartitions("shingle", "meet", "fp")
+    return dealt.mapInPandas(_meet, "a long, b long").distinct()
+
+
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Bits, a power of two of at least twice as many as there are shingles, of which those that the hashes name are set."""
-    size = 1 << max(6, (2 * len(shingles) - 1).bit_length())
+    """Bits, a power of two of at least four times as many as there are shingles, of which those that the hashes name are set."""
+    size = 1 << max(6, (4 * len(shingles) - 1).bit_length())
     bits = np.zeros(size, dtype=np.uint8)
     bits[(shingles >> np.uint64(20)) % np.uint64(size)] = 1
     return np.packbits(bits)
@@ -170,13 +216,13 @@ def _compared(pairs: DataFrame, sets: DataFrame, most: int, how) -> DataFrame:
     return dealt.groupBy("i", "j").cogroup(asked.groupBy("k", "l")).applyInPandas(how, "a long, b long")
 
 
-def verified(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose whole sets have a similarity of 4/5 at least: first by their bitmaps, what these leave by the sets.
+def verified(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, by_bits: bool = True) -> DataFrame:
+    """The pairs whose whole sets have a similarity of 4/5 at least: first by their bitmaps (by_bits), what these leave by the sets.
 
     nodes: (fp, id, n, bits) of every set: a doc_id that has it, its size and its bitmap. Only texts of pairs left are read
     again.
     """
-    left = scratch.cut(_compared(pairs, nodes.select("fp", "n", "bits"), BITMAPS, _may_be_similar), "shingles-left")
+    left = scratch.cut(_compared(pairs, nodes.select("fp", "n", "bits"), BITMAPS, _may_be_similar), "shingles-left") if by_bits else pairs
     fps = scratch.cut(left.select(F.col("a").alias("fp")).union(left.select("b")).distinct(), "shingles-asked")
     n = fps.count()
     ids = nodes.select("fp", "id").join(fps, "fp", "left_semi").select("id").distinct()
@@ -208,8 +254,9 @@ def similar_links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, known: Da
 
     links = known
     for step in (*range(STARS), None):
-        pairs = scratch.cut(_candidates(with_components(links), step), "shingles-pairs")
-        found = verified(scratch, docs, nodes, pairs)
+        rows = with_components(links)
+        pairs = scratch.cut(_all(scratch, rows, nodes) if step is None else _star(rows, step), "shingles-pairs")
+        found = verified(scratch, docs, nodes, pairs, step is not None)
         scratch.drop("shingles-pairs")
         links = found if links is None else links.union(found)
     return links
