@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ CONFIG = tasks.TaskConfig()
 
 
 def shared(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(make)
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
         key = make.__name__, spark.sparkContext.applicationId, sf_dir
         if key not in _KEPT:
