@@ -9,11 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slateworks.functions.scratch import released, written
+from slateworks.functions.scratch import alone, in_parts
 from slateworks.operators.candidates import indexed
 
 #: Pairs of a block, which set the number of blocks; pairs that a task has in memory at once.
 BLOCK_PAIRS, STEP_PAIRS = 1 << 26, 1 << 21
+#: Entries of dealt lists, a few bytes each, that lie in shuffle files at once; blocks beyond that come in further parts, one after the other.
+PART_ENTRIES = 1 << 27
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -100,23 +102,30 @@ def item_lists(train: DataFrame, user: str = "user_id", item: str = "item_id") -
     counts that each item has over all users; and (item, index) in the order of items."""
     rows = train.where(F.col(user).isNotNull() & F.col(item).isNotNull())
     # A few MB of Parquet are many times that as a broadcast table on the driver.
-    index = written(indexed(rows, item), "index").hint("merge")
-    w = rows.groupBy(user, item).agg(F.count(F.lit(1)).alias("w"))
-    q = w.groupBy(item).agg(F.sum(F.col("w") * F.col("w")).alias("q"))
-    known = index.join(q, item).select(item, F.col("index").alias("i"), "q")
-    each = w.join(known, item).groupBy(user).agg(F.sort_array(F.collect_list(F.struct("i", "w", "q"))).alias("e"))
-    lists = written(each.select(user, F.col("e.i").alias("i"), F.col("e.w").alias("w"), F.col("e.q").alias("q")), "lists")
-    released(train.sparkSession)
-    return lists, index
+    index = alone(lambda: indexed(rows, item), "index").hint("merge")
 
+    def listed() -> DataFrame:
+        # Step by step, so that only one step's shuffle files lie on disk.
+        w = alone(lambda: rows.groupBy(user, item).agg(F.count(F.lit(1)).alias("w")), "w")
+        q = alone(lambda: w.groupBy(item).agg(F.sum(F.col("w") * F.col("w")).alias("q")), "q")
+        known = index.join(q, item).select(item, F.col("index").alias("i"), "q")
+        each = w.join(known, item).groupBy(user).agg(F.sort_array(F.collect_list(F.struct("i", "w", "q"))).alias("e"))
+        return each.select(user, F.col("e.i").alias("i"), F.col("e.w").alias("w"), F.col("e.q").alias("q"))
+
+    return alone(listed, "lists"), index
+
+
+def _deal_lists(blocks: int, part: int = 0, parts: int = 1):
+    """Lists to the blocks whose number leaves part when divided by parts."""
 
-def _deal_lists(blocks: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths, i = _flat(batch.column("i"))
             (_, w), (_, q) = _flat(batch.column("w")), _flat(batch.column("q"))
             starts = np.cumsum(lengths) - lengths
             for block, rows in _copies(lengths, i % blocks, blocks):
+                if block % parts != part:
+                    continue
                 at, n = _within(starts[rows], lengths[rows]), lengths[rows]
                 steps = np.diff(i[at], prepend=0)
                 yield pa.record_batch({"block": pa.array([block], pa.int32()), "blob": pa.array([_pack(n, steps, w[at], q[at])], pa.binary())})
@@ -184,23 +193,29 @@ def _near(blocks: int, n: int):
     return run
 
 
-def near_lists(lists: DataFrame, n: int, block_pairs: int | None = None) -> DataFrame:
+def near_lists(lists: DataFrame, n: int, block_pairs: int | None = None, part_entries: int | None = None) -> DataFrame:
     """(i, q, others, dots, qs): of each item the n most similar others by cosine, best first, ties to the smaller index.
 
     Items are cut into blocks by index. A user's list goes once to each block in which the user has an item, packed with
     others, and the task of the block makes and sums the pairs of its items. So as many lists leave a task as there are
-    interactions at most, a few bytes for each of their items, and only the n best of each item go on.
+    interactions at most, a few bytes for each of their items, and only the n best of each item go on. Blocks are done in
+    parts, so what is dealt at once is bounded.
     """
     spark = lists.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
     pairs = lists.agg(F.sum(F.size("i").cast("long") * F.size("i"))).first()[0] or 0
     blocks = max(1, -(-pairs // (block_pairs or BLOCK_PAIRS)))
-    dealt = lists.select("i", "w", "q").mapInArrow(_deal_lists(blocks), "block int, blob binary")
-    # More tasks than blocks, so that few get two.
-    dealt = dealt.repartition(4 * blocks, "block").sortWithinPartitions("block")
-    out = written(dealt.mapInArrow(_near(blocks, n), "i long, q long, others array<long>, dots array<long>, qs array<long>"), "near")
-    released(spark)
-    return out
+    size = F.size("i").cast("long")
+    entries = lists.agg(F.sum(size * F.least(size, F.lit(blocks)))).first()[0] or 0
+    parts = min(blocks, max(1, -(-entries // (part_entries or PART_ENTRIES))))
+
+    def near(part: int) -> DataFrame:
+        dealt = lists.select("i", "w", "q").mapInArrow(_deal_lists(blocks, part, parts), "block int, blob binary")
+        # More tasks than blocks, so that few get two.
+        dealt = dealt.repartition(4 * -(-blocks // parts), "block").sortWithinPartitions("block")
+        return dealt.mapInArrow(_near(blocks, n), "i long, q long, others array<long>, dots array<long>, qs array<long>")
+
+    return in_parts(parts, near, "near") if parts > 1 else alone(lambda: near(0), "near")
 
 
 def neighbours(train: DataFrame, n: int, users: str = "user_id") -> DataFrame:
@@ -276,19 +291,25 @@ def _recommended(k: int):
     return run
 
 
-def recommended(lists: DataFrame, near: DataFrame, users: DataFrame, k: int, n: int, block_pairs: int | None = None) -> DataFrame:
+def recommended(lists: DataFrame, near: DataFrame, users: DataFrame, k: int, n: int, block_pairs: int | None = None, part_entries: int | None = None) -> DataFrame:
     """(user_id, index, rank): of each user the k items not in the list with the largest sums of similarities to items in it.
 
     Users are cut into blocks. An item's neighbours go once to each block with a user who has the item, packed; the sums are
-    made in the block's task.
+    made in the block's task. Blocks are done in parts, so what is dealt at once is bounded.
     """
     own = lists.join(users.select("user_id").distinct(), "user_id", "left_semi").select("user_id", "i")
     pairs = n * (own.agg(F.sum(F.size("i").cast("long"))).first()[0] or 0)
     blocks = max(1, -(-pairs // (block_pairs or BLOCK_PAIRS // 4)))
-    own = own.withColumn("block", F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int"))
-    wanted = own.select("block", F.explode("i").alias("i")).groupBy("i").agg(F.collect_set("block").alias("blocks"))
-    dealt = near.join(wanted, "i").select("i", "q", "others", "dots", "qs", "blocks").mapInArrow(_deal_near(blocks), "block int, user string, list array<long>, blob binary")
-    rows = dealt.unionByName(own.select("block", F.col("user_id").alias("user"), F.col("i").alias("list"), F.lit(None).cast("binary").alias("blob")))
-    # Neighbours, whose user is null, come before the users of their block.
-    rows = rows.repartition(4 * blocks, "block").sortWithinPartitions("block", F.col("user").asc_nulls_first())
-    return rows.mapInArrow(_recommended(k), "user string, index long, rank long").select(F.col("user").alias("user_id"), "index", "rank")
+    parts = min(blocks, max(1, -(-pairs // (part_entries or PART_ENTRIES))))
+    placed = own.withColumn("block", F.pmod(F.xxhash64("user_id"), F.lit(blocks)).cast("int"))
+
+    def found(part: int) -> DataFrame:
+        mine = placed.where(F.col("block") % parts == part)
+        wanted = mine.select("block", F.explode("i").alias("i")).groupBy("i").agg(F.collect_set("block").alias("blocks"))
+        dealt = near.join(wanted, "i").select("i", "q", "others", "dots", "qs", "blocks").mapInArrow(_deal_near(blocks), "block int, user string, list array<long>, blob binary")
+        rows = dealt.unionByName(mine.select("block", F.col("user_id").alias("user"), F.col("i").alias("list"), F.lit(None).cast("binary").alias("blob")))
+        # Neighbours, whose user is null, come before the users of their block.
+        rows = rows.repartition(4 * -(-blocks // parts), "block").sortWithinPartitions("block", F.col("user").asc_nulls_first())
+        return rows.mapInArrow(_recommended(k), "user string, index long, rank long").select(F.col("user").alias("user_id"), "index", "rank")
+
+    return in_parts(parts, found, "found")
