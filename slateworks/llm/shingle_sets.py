@@ -28,6 +28,8 @@ STARS = 2
 BLOCK, BITMAPS, PAIRS_AT_ONCE = 500, 20_000, 200
 #: Rows of a bucket that meet in one task at once.
 MEET = 2048
+#: Members of leaders' groups that a task keeps to tell each once; shingles of a group whose sets meet in one task.
+MEMBERS_AT_ONCE, SETS = 100_000, 1 << 20
 #: Numbers up to which a table of them is broadcast.
 FEW = 100_000
 
@@ -120,51 +122,125 @@ def _star(rows: DataFrame, star: int) -> DataFrame:
     return met.where(f"x.component <> y.component AND {_MAY}").select(F.expr("least(x.fp, y.fp)").alias("a"), F.expr("greatest(x.fp, y.fp)").alias("b")).distinct()
 
 
+def _groups(batches: Iterator[pd.DataFrame], *key: str) -> Iterator[pd.DataFrame]:
+    """Rows sorted by key -> the rows of each key that has two rows or more."""
+    rest = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch[list(key)].to_numpy()
+        starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
+        for x, y in zip(starts, starts[1:]):
+            if rest and (rest[-1][list(key)].iloc[-1].to_numpy() != keys[x]).any():
+                whole, rest = pd.concat(rest, ignore_index=True), []
+                if len(whole) > 1:
+                    yield whole
+            rest.append(batch.iloc[x:y])
+    if rest and sum(map(len, rest)) > 1:
+        yield pd.concat(rest, ignore_index=True)
+
+
+def _tree(side: np.ndarray, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[list[tuple[int, int]]]:
+    """Spanning trees of rows that link where near(row, others) tells so, one of the two on side 1 and the other on side 2."""
+    left = np.arange(len(side))
+    while len(left):
+        queue, left, edges = [int(left[0])], left[1:], []
+        while queue and len(left):
+            at = queue.pop()
+            met = left[(((side[at] & 1) > 0) & ((side[left] & 2) > 0)) | (((side[at] & 2) > 0) & ((side[left] & 1) > 0))]
+            found = met[near(at, met)] if len(met) else met
+            if len(found):
+                edges += [(at, int(x)) for x in found]
+                queue += found.tolist()
+                left = np.setdiff1d(left, found, assume_unique=True)
+        if edges:
+            yield edges
+
+
 def _meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by shingle and pair of blocks -> pairs (a, b) of each that may be similar, by places, sizes and bitmaps."""
-    rest = None
+    """Rows sorted by shingle and pair of blocks -> (leader, fp) of rows that pairs which may be similar, by places, sizes and
+    bitmaps, join: a row for each that has such a partner, never one for each pair. The leader is the smallest fp joined."""
 
-    def pairs(part: pd.DataFrame) -> list[tuple[int, int]]:
+    def joined(part: pd.DataFrame) -> Iterator[tuple[int, int]]:
         fp, n, place, component, side = (part[c].to_numpy(dtype=np.int64) for c in ("fp", "n", "place", "component", "side"))
-        bits, out = [np.frombuffer(b, dtype=np.uint8) for b in part["bits"]], []
-        for i in np.flatnonzero(side & 1).tolist():
-            most = np.minimum(place[i], place) + 1 + np.minimum(n[i] - place[i] - 1, n - place - 1)
-            # Within one block each pair shows twice; keep it once.
-            may = (side & 2 > 0) & (component != component[i]) & (9 * most >= 4 * (n[i] + n)) & ((side != 3) | (fp > fp[i]))
-            for j in np.flatnonzero(may).tolist():
-                if 9 * most_shared(int(n[i]), bits[i], int(n[j]), bits[j]) >= 4 * (n[i] + n[j]):
-                    out.append((int(min(fp[i], fp[j])), int(max(fp[i], fp[j]))))
-        return out
-
-    def table(found: set[tuple[int, int]]) -> pd.DataFrame:
-        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+        bits = [np.frombuffer(b, dtype=np.uint8) for b in part["bits"]]
+
+        def near(i: int, others: np.ndarray) -> np.ndarray:
+            most = np.minimum(place[i], place[others]) + 1 + np.minimum(n[i] - place[i] - 1, n[others] - place[others] - 1)
+            may = (component[others] != component[i]) & (9 * most >= 4 * (n[i] + n[others]))
+            for at in np.flatnonzero(may).tolist():
+                j = others[at]
+                may[at] = 9 * most_shared(int(n[i]), bits[i], int(n[j]), bits[j]) >= 4 * (n[i] + n[j])
+            return may
+
+        for edges in _tree(side, near):
+            members = fp[np.unique(np.array(edges))]
+            yield from ((int(members.min()), m) for m in members.tolist())
+
+    found: set[tuple[int, int]] = set()
+    for part in _groups(batches, "shingle", "meet"):
+        found.update(joined(part))
+        if len(found) >= MEMBERS_AT_ONCE:
+            yield pd.DataFrame(sorted(found), columns=["leader", "fp"], dtype="int64")
+            found.clear()
+    yield pd.DataFrame(sorted(found), columns=["leader", "fp"], dtype="int64")
+
+
+def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by leader and pair of blocks -> links (a, b), spanning trees of the pairs whose whole sets have a similarity of 4/5."""
+    for part in _groups(batches, "leader", "meet"):
+        fp, side = part["fp"].to_numpy(dtype=np.int64), part["side"].to_numpy(dtype=np.int64)
+        sets = [np.frombuffer(s, dtype=np.uint64) for s in part["shingles"]]
+        n = np.array([len(s) for s in sets], dtype=np.int64)
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        ends = np.cumsum(n)
+        held = np.zeros(int(codes.max()) + 1, dtype=bool)
+
+        def near(i: int, others: np.ndarray) -> np.ndarray:
+            may = 9 * np.minimum(n[i], n[others]) >= 4 * (n[i] + n[others])
+            own = codes[ends[i] - n[i] : ends[i]]
+            held[own] = True
+            for at in np.flatnonzero(may).tolist():
+                j = others[at]
+                may[at] = 9 * int(np.count_nonzero(held[codes[ends[j] - n[j] : ends[j]]])) >= 4 * (n[i] + n[j])
+            held[own] = False
+            return may
+
+        links = [(min(fp[a], fp[b]), max(fp[a], fp[b])) for edges in _tree(side, near) for a, b in edges]
+        if links:
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def _met_in_blocks(rows: DataFrame) -> DataFrame:
+    """rows(fp, blocks, ..) with meet and side: a row for each pair of blocks that it is of, among the blocks of its key."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # Bit 1: a row of the first block, bit 2: of the second; a block with itself has both.
+    side = F.when(F.col("own") == F.col("with"), 3).when(F.col("own") < F.col("with"), 1).otherwise(2)
+    meet = F.least("own", "with") * F.col("blocks") + F.greatest("own", "with")
+    return rows.withColumn("meet", meet).withColumn("side", side).drop("own", "with", "blocks")
 
-    for batch in batches:
-        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        key = rows[["shingle", "meet"]].to_numpy()
-        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        if not len(cuts):
-            rest = rows
-            continue
-        starts = [0, *cuts.tolist()]
-        rest = rows.iloc[starts[-1] :]
-        yield table({p for x, y in zip(starts, starts[1:]) if y - x > 1 for p in pairs(rows.iloc[x:y])})
-    if rest is not None and len(rest) > 1:
-        yield table(set(pairs(rest)))
 
+def _all(scratch: Scratch, docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that join all fps of different components that share a bucket and are similar.
 
-def _all(scratch: Scratch, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of fps of different components that share a bucket and may be similar: every pair of a bucket meets, and
-    only those leave the task. Buckets beyond MEET rows are cut, and each pair of their blocks meets on its own."""
+    Every pair of a bucket meets in a task, by bitmaps. What may be similar leaves the task as members of a leader's group,
+    not as pairs; buckets of near copies have mostly the same leader. A group's whole sets meet in a task, once for all the
+    buckets shared, and give spanning trees. So rows between tasks grow with the members. Buckets beyond MEET rows and groups
+    beyond SETS shingles are cut, and each pair of their blocks meets on its own.
+    """
     crowd = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     hits = rows.join(crowd.select("shingle", F.ceil(F.col("rows") / MEET).cast("long").alias("blocks")), "shingle")
-    hits = hits.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    # Bit 1: a row of the first block, bit 2: of the second; a block with itself has both.
-    side = F.when(F.col("own") == F.col("with"), 3).when(F.col("own") < F.col("with"), 1).otherwise(2)
-    meet = F.least("own", "with") * F.col("blocks") + F.greatest("own", "with")
-    told = hits.select("shingle", meet.alias("meet"), side.alias("side"), "fp", "place", "component").join(nodes.select("fp", "n", "bits"), "fp")
+    told = _met_in_blocks(hits.drop("n")).join(nodes.select("fp", "n", "bits"), "fp")
     dealt = told.repartition("shingle", "meet").sortWithinPartitions("shingle", "meet", "fp")
-    return dealt.mapInPandas(_meet, "a long, b long").distinct()
+    members = scratch.cut(dealt.mapInPandas(_meet, "leader long, fp long").distinct(), "shingles-members")
+    sets = _sets_of(scratch, docs, nodes, members.select("fp").distinct())
+    size = members.join(nodes.select("fp", "n"), "fp").groupBy("leader").agg(F.ceil(F.sum("n") / SETS).cast("long").alias("blocks"))
+    asked = _met_in_blocks(members.join(size, "leader")).join(sets, "fp")
+    dealt = asked.repartition("leader", "meet").sortWithinPartitions("leader", "meet", "fp")
+    found = scratch.cut(dealt.mapInPandas(_linked, "a long, b long").distinct(), "shingles-links")
+    for name in ("shingles-members", "shingles-asked", "shingles-sets"):
+        scratch.drop(name)
+    return found
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
@@ -216,20 +292,25 @@ def _compared(pairs: DataFrame, sets: DataFrame, most: int, how) -> DataFrame:
     return dealt.groupBy("i", "j").cogroup(asked.groupBy("k", "l")).applyInPandas(how, "a long, b long")
 
 
-def verified(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, by_bits: bool = True) -> DataFrame:
-    """The pairs whose whole sets have a similarity of 4/5 at least: first by their bitmaps (by_bits), what these leave by the sets.
-
-    nodes: (fp, id, n, bits) of every set: a doc_id that has it, its size and its bitmap. Only texts of pairs left are read
-    again.
-    """
-    left = scratch.cut(_compared(pairs, nodes.select("fp", "n", "bits"), BITMAPS, _may_be_similar), "shingles-left") if by_bits else pairs
-    fps = scratch.cut(left.select(F.col("a").alias("fp")).union(left.select("b")).distinct(), "shingles-asked")
+def _sets_of(scratch: Scratch, docs: DataFrame, nodes: DataFrame, fps: DataFrame) -> DataFrame:
+    """(fp, shingles) of the fps: the whole sets, from texts read again."""
+    fps = scratch.cut(fps, "shingles-asked")
     n = fps.count()
     ids = nodes.select("fp", "id").join(fps, "fp", "left_semi").select("id").distinct()
     # Few numbers spare the texts a shuffle; many take one.
     texts = docs.join(F.broadcast(ids) if n <= FEW else ids, F.col("doc_id").cast("long").eqNullSafe(F.col("id")), "left_semi")
     sets = texts_of(texts).mapInPandas(_sets, "fp long, shingles binary").join(F.broadcast(fps) if n <= FEW else fps, "fp", "left_semi")
-    sets = scratch.cut(sets.dropDuplicates(["fp"]), "shingles-sets")
+    return scratch.cut(sets.dropDuplicates(["fp"]), "shingles-sets")
+
+
+def verified(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose whole sets have a similarity of 4/5 at least: first by their bitmaps, what these leave by the sets.
+
+    nodes: (fp, id, n, bits) of every set: a doc_id that has it, its size and its bitmap. Only texts of pairs left are read
+    again.
+    """
+    left = scratch.cut(_compared(pairs, nodes.select("fp", "n", "bits"), BITMAPS, _may_be_similar), "shingles-left")
+    sets = _sets_of(scratch, docs, nodes, left.select(F.col("a").alias("fp")).union(left.select("b")).distinct())
     found = scratch.cut(_compared(left, sets, BLOCK, _similar), "shingles-links")
     for name in ("shingles-left", "shingles-asked", "shingles-sets"):
         scratch.drop(name)
@@ -255,8 +336,10 @@ def similar_links(scratch: Scratch, docs: DataFrame, nodes: DataFrame, known: Da
     links = known
     for step in (*range(STARS), None):
         rows = with_components(links)
-        pairs = scratch.cut(_all(scratch, rows, nodes) if step is None else _star(rows, step), "shingles-pairs")
-        found = verified(scratch, docs, nodes, pairs, step is not None)
-        scratch.drop("shingles-pairs")
+        if step is None:
+            found = _all(scratch, docs, rows, nodes)
+        else:
+            found = verified(scratch, docs, nodes, scratch.cut(_star(rows, step), "shingles-pairs"))
+            scratch.drop("shingles-pairs")
         links = found if links is None else links.union(found)
     return links

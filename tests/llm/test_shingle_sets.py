@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from slateworks.llm import shingle_sets, simhash
 
@@ -75,3 +76,27 @@ def test_bitmaps_never_tell_too_little():
         y = np.unique(np.concatenate((x[rng.random(len(x)) < rng.random()], rng.integers(0, 2**63, rng.integers(0, 300), dtype=np.uint64))))
         bound = shingle_sets.most_shared(len(x), shingle_sets.bitmap(x), len(y), shingle_sets.bitmap(y))
         assert len(np.intersect1d(x, y)) <= bound <= min(len(x), len(y))
+
+
+def test_rows_leave_a_bucket_once_and_not_as_pairs():
+    """60 texts of which any two may be similar, in ten buckets: a row for each text, where each pair left once for each bucket."""
+    rng = np.random.default_rng(3)
+    base = rng.choice(2**60, 300, replace=False).astype(np.uint64)
+    sets = [np.unique(np.concatenate((base[:280], rng.choice(2**60, 20).astype(np.uint64)))) for _ in range(60)]
+    one = pd.DataFrame({"fp": range(100, 160), "place": 0, "component": range(100, 160), "side": 3, "meet": 0, "n": [len(s) for s in sets], "bits": [shingle_sets.bitmap(s).tobytes() for s in sets]})
+    rows = pd.concat([one.assign(shingle=s) for s in range(10)], ignore_index=True)
+    # Batches that cut a bucket in two.
+    met = pd.concat(shingle_sets._meet(rows.iloc[at : at + 250].reset_index(drop=True) for at in range(0, len(rows), 250)))
+    assert sorted(map(tuple, met[["leader", "fp"]].to_numpy().tolist())) == [(100, fp) for fp in range(100, 160)]
+    group = one.assign(leader=100, shingles=[s.tobytes() for s in sets])
+    links = pd.concat(shingle_sets._linked(iter([group])))
+    assert len(links) == 59 and set(links["a"]) | set(links["b"]) == set(range(100, 160))
+
+
+def test_keep_one_with_buckets_and_groups_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(shingle_sets, "STARS", 0)
+    monkeypatch.setattr(shingle_sets, "MEET", 3)
+    monkeypatch.setattr(shingle_sets, "SETS", 100)
+    monkeypatch.setattr(shingle_sets, "MEMBERS_AT_ONCE", 5)
+    rows = copies(8, 160)
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_kept(rows)
