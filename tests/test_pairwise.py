@@ -80,3 +80,19 @@ def test_pieces_give_the_vectors_of_one_task_and_leave_nothing_else(spark, pairs
     assert all(np.allclose(found[0][key], found[1][key], atol=1e-6) for key in found[0])
     expected = brute(user, item, 25, 33, 30, *work)
     assert np.allclose(found[1][(0, "u03")], expected[3], atol=1e-6) and np.allclose(found[1][(1, "i32")], expected[25 + 32], atol=1e-6)
+
+
+@pytest.mark.parametrize("name", ["policy_bpr"])
+def test_queries_learn_whose_taste_is_whose(spark, tmp_path, name):
+    """Customers of odd and of even numbers order parts of their own kind alone, and are to be shown such."""
+    from __spark_entry__ import queries
+
+    rng = np.random.default_rng(1)
+    lines = [(c, 2 * int(p) + c % 2) for c in range(40) for p in rng.choice(30, 15, replace=False)]
+    write = lambda rows, schema, table: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    write([(c, c, "2020-01-01") for c in range(40)], "o_orderkey long, o_custkey long, o_orderdate string", "orders")
+    write([(c, p, 40.0) for c, p in lines], "l_orderkey long, l_partkey long, l_quantity double", "lineitem")
+    write([(p, "n", "b", "t") for p in range(60)], "p_partkey long, p_name string, p_brand string, p_type string", "part")
+    shown = queries()[name](spark, str(tmp_path)).collect()
+    own = [int(r.user_id) % 2 == int(r.item_id) % 2 for r in shown]
+    assert len(shown) == 10 * len({r.user_id for r in shown}) and np.mean(own) > 0.9
