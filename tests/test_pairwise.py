@@ -82,7 +82,7 @@ def test_pieces_give_the_vectors_of_one_task_and_leave_nothing_else(spark, pairs
     assert np.allclose(found[1][(0, "u03")], expected[3], atol=1e-6) and np.allclose(found[1][(1, "i32")], expected[25 + 32], atol=1e-6)
 
 
-@pytest.mark.parametrize("name", ["policy_bpr"])
+@pytest.mark.parametrize("name", ["policy_bpr", "policy_lightgcn"])
 def test_queries_learn_whose_taste_is_whose(spark, tmp_path, name):
     """Customers of odd and of even numbers order parts of their own kind alone, and are to be shown such."""
     from __spark_entry__ import queries
